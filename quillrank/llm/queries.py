@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillrank.sources import current_rows, read_table
 
-from . import distinctiveness, leakage, packing, splitting, term_frequency
+from . import distinctiveness, leakage, neighbours, packing, splitting, term_frequency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,6 +111,43 @@ def p5_scores(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
+# ---- 6
+
+ORD = 1 << 20
+
+
+def _near_sql(name: str, vectors: str) -> str:
+    return f"""select distinct '{name}' as table_name, least(a, b) // {ORD} as id_a, (least(a, b) % {ORD})::int as ord_a, greatest(a, b) // {ORD} as id_b, (greatest(a, b) % {ORD})::int as ord_b from (
+      select x.k as a, y.k as b, row_number() over (partition by x.k order by list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v) * list_inner_product(y.v, y.v)) desc, y.k) as r
+      from {vectors} x join {vectors} y on x.k // {ORD} <> y.k // {ORD}) where r <= 5"""
+
+
+_VECTORS = f"(select id * {ORD} as k, embedding::double[] as v from {_now(HYBRID)} where embedding is not null and list_inner_product(embedding::double[], embedding::double[]) > 0)"
+_TOKENS = f"(select id::bigint * {ORD} + o as k, v::double[] as v from (select id, unnest(tokens) as v, unnest(range(len(tokens))) as o from {_now(PASSAGES)}) where list_inner_product(v::double[], v::double[]) > 0)"
+
+
+@query("p6_found", _near_sql(HYBRID, _VECTORS) + " union all " + _near_sql(PASSAGES, _TOKENS))
+def p6_found(spark, folder):
+    both = None
+    for name, ranked in (("hybrid_documents", near_documents(spark, folder)), ("passages", near_tokens(spark, folder))):
+        pairs = ranked.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        cut = [F.floor(F.col(c) / ORD).cast("long").alias(f"id_{c}") for c in "ab"]
+        ords = [F.pmod(F.col(c), F.lit(ORD)).cast("int").alias(f"ord_{c}") for c in "ab"]
+        part = pairs.select(F.lit(name).alias("table_name"), cut[0], ords[0], cut[1], ords[1])
+        both = part if both is None else both.unionByName(part)
+    return both
+
+
+def near_documents(spark, folder):
+    rows = current(spark, folder, HYBRID, "embedding").select((F.col("id") * ORD).alias("key"), "id", "embedding")
+    return neighbours.nearest(rows, "key", "embedding", 32, own="id")
+
+
+def near_tokens(spark, folder):
+    rows = current(spark, folder, PASSAGES, "tokens").select(F.col("id").cast("long").alias("id"), F.posexplode("tokens").alias("ord", "vec"))
+    return neighbours.nearest(rows.select((F.col("id") * ORD + F.col("ord")).alias("key"), "id", "vec"), "key", "vec", 16, own="id")
+
+
 # ---- 8
 
 
