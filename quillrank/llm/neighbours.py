@@ -16,6 +16,9 @@ from .arrow import batch, lists_of, matrix, mix64
 COPIES = 32
 MOST_HASHES, CELL_ROWS, GROUP_ROWS, QUERY_ROWS, SAMPLE_ROWS = 12, 48, 60_000, 500_000, 20_000
 
+#: A vector without NULL, NaN and infinite elements that is not all zero.
+USABLE = "exists(vec, x -> x != 0) and not exists(vec, x -> x is null or isnan(x) or abs(x) = float('infinity'))"
+
 
 class Plan:
     """The hash functions of one table, and which cells a query probes.
@@ -179,7 +182,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, *, k: int = 5, own:
     are the first copies, which they get by a join.
     """
     own = own or key
-    base = df.selectExpr(f"cast(`{key}` as long) as key", f"cast(`{own}` as long) as own", f"cast(`{vector}` as array<float>) as vec").where(f"key is not null and size(vec) = {dim}")
+    base = df.selectExpr(f"cast(`{key}` as long) as key", f"cast(`{own}` as long) as own", f"cast(`{vector}` as array<float>) as vec").where(f"key is not null and size(vec) = {dim} and {USABLE}")
     kept = base.withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("key"))).where(F.col("nth") <= COPIES)
     return _nearest(kept.drop("nth"), base, dim, k, probes, tables, seed)
 
