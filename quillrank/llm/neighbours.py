@@ -14,7 +14,7 @@ from quillrank.sources import stage_table
 from .arrow import batch, lists_of, matrix, mix64
 
 COPIES = 32
-MOST_HASHES, CELL_ROWS, GROUP_ROWS, QUERY_ROWS, SAMPLE_ROWS = 12, 48, 60_000, 500_000, 20_000
+MOST_HASHES, CELL_ROWS, GROUP_ROWS, QUERY_ROWS, QUERY_BLOCK, SAMPLE_ROWS = 12, 48, 60_000, 250_000, 8192, 20_000
 
 #: A vector without NULL, NaN and infinite elements that is not all zero.
 USABLE = "exists(vec, x -> x != 0) and not exists(vec, x -> x is null or isnan(x) or abs(x) = float('infinity'))"
@@ -120,20 +120,13 @@ def _search(plan: Plan, dim: int, k: int, spare: int):
         best = np.full((len(x), width), -2.0, np.float32)
         who = np.full((len(x), width), -1, np.int64)
         floor = np.full(len(x), -2.0, np.float32)
-        step = max(1, 8_000_000 // max(1, len(cells)))
-        probed = [np.zeros((0, 2), np.int64)]
-        for a in range(0, len(x), step):
-            costs = plan.costs(gaps[a : a + step], plan.bits[cells])
-            q, c = np.nonzero((costs <= reach[a : a + step, None] + 1e-6) & (ends > starts)[None, :])
-            probed.append(np.stack([c, q + a], 1).astype(np.int32))
-        probed = np.concatenate(probed)
-        probed = probed[np.argsort(probed[:, 0], kind="stable")]
-        bounds = np.searchsorted(probed[:, 0], np.arange(len(cells) + 1))
-        for c in range(len(cells)):
-            queries = probed[bounds[c] : bounds[c + 1], 1]
-            for lo in range(starts[c], ends[c], 4096):
-                held = mine[lo : min(lo + 4096, ends[c])]
-                for qs in (queries[i : i + 16_384] for i in range(0, len(queries), 16_384)):
+        for a in range(0, len(x), QUERY_BLOCK):
+            block = np.arange(a, min(a + QUERY_BLOCK, len(x)))
+            wanted = np.ascontiguousarray((plan.costs(gaps[block], plan.bits[cells]) <= reach[block, None] + 1e-6).T)
+            for c in np.nonzero(ends > starts)[0].tolist():
+                qs = block[wanted[c]]
+                for lo in range(starts[c], ends[c], 4096):
+                    held = mine[lo : min(lo + 4096, ends[c])]
                     s = u[qs] @ u[held].T
                     r, m = np.nonzero(s > floor[qs][:, None])
                     if not len(r):
@@ -184,25 +177,21 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, *, k: int = 5, own:
     own = own or key
     base = df.selectExpr(f"cast(`{key}` as long) as key", f"cast(`{own}` as long) as own", f"cast(`{vector}` as array<float>) as vec").where(f"key is not null and size(vec) = {dim} and {USABLE}")
     kept = base.withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("key"))).where(F.col("nth") <= COPIES)
-    return _nearest(kept.drop("nth"), base, dim, k, probes, tables, seed)
-
-
-def _nearest(kept: DataFrame, base: DataFrame, dim: int, k: int, probes: float | None, tables: int, seed: int) -> DataFrame:
-    kept = stage_table(kept, "vectors")
+    kept = stage_table(kept, "vectors")  # in the same order at every reading, which the routing relies on
     rows = kept.count()
     usable, sample = matrix(pa.array([list(r.vec) for r in kept.where(F.pmod(F.xxhash64("key"), F.lit(max(1, rows // SAMPLE_ROWS))) == 0).limit(SAMPLE_ROWS).collect()], pa.list_(pa.float32())), dim)
     sample = _unit(sample) if len(sample) else sample
     found = None
     for n in range(tables):
         plan = Plan(dim, rows, sample, (share_probed(rows) if probes is None else probes) / tables, seed + n)
-        routed = kept.mapInArrow(_route(plan, dim), "grp int, chunk int, key long, own long, member boolean, reach float, vec array<float>")
+        routed = kept.select("key", "own", "vec").mapInArrow(_route(plan, dim), "grp int, chunk int, key long, own long, member boolean, reach float, vec array<float>")
         part = routed.groupBy("grp", "chunk").applyInArrow(_search(plan, dim, k, 3), "key long, own long, other long, other_own long, cosine double")
         found = part if found is None else found.unionByName(part)
     if tables > 1:
         found = found.dropDuplicates(["key", "other"])
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "other", "cosine", "rank")
-    return best.unionByName(_excess(kept, base, k))
+    return best if kept.where(F.col("nth") == COPIES).isEmpty() else best.unionByName(_excess(kept, base, k))
 
 
 def _excess(kept: DataFrame, base: DataFrame, k: int) -> DataFrame:
