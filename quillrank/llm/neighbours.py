@@ -56,7 +56,7 @@ class Plan:
 
 def share_probed(rows: int) -> float:
     """The share of the cells that a query probes: all of them in small tables, falling with the size as the nearest lie nearer."""
-    return min(1.0, 14.5 * max(rows, 1) ** -0.35)
+    return min(1.0, 17.95 * max(rows, 1) ** -0.38)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -120,11 +120,18 @@ def _search(plan: Plan, dim: int, k: int, spare: int):
         best = np.full((len(x), width), -2.0, np.float32)
         who = np.full((len(x), width), -1, np.int64)
         floor = np.full(len(x), -2.0, np.float32)
-        for a in range(0, len(x), QUERY_BLOCK):
-            block = np.arange(a, min(a + QUERY_BLOCK, len(x)))
-            wanted = np.ascontiguousarray((plan.costs(gaps[block], plan.bits[cells]) <= reach[block, None] + 1e-6).T)
-            for c in np.nonzero(ends > starts)[0].tolist():
-                qs = block[wanted[c]]
+        used = np.nonzero(ends > starts)[0]
+        asking = np.nonzero(reach >= 0)[0]
+        asking = asking[np.argsort(plan.cell(gaps[asking]), kind="stable")]
+        for block in (asking[a : a + QUERY_BLOCK] for a in range(0, len(asking), QUERY_BLOCK)):
+            costs = np.ascontiguousarray(plan.costs(gaps[block], plan.bits[cells[used]]).T)
+            bound = reach[block] + 1e-6
+            for n in np.argsort(costs.mean(1), kind="stable").tolist():
+                c = used[n]
+                # a cell farther off than the worst of the best so far cannot hold a better one
+                qs = block[costs[n] <= np.minimum(bound, 2.00001 - 2 * floor[block])]
+                if not len(qs):
+                    continue
                 for lo in range(starts[c], ends[c], 4096):
                     held = mine[lo : min(lo + 4096, ends[c])]
                     s = u[qs] @ u[held].T
