@@ -54,9 +54,9 @@ class Plan:
         return to_zero.sum(1)[:, None] + (to_one - to_zero) @ bits.T
 
 
-def share_probed(rows: int) -> float:
-    """The share of the cells that a query probes: all of them in small tables, falling with the size as the nearest lie nearer."""
-    return min(1.0, 17.95 * max(rows, 1) ** -0.38)
+def share_probed(rows: int, dim: int) -> float:
+    """The share of the cells that a query probes: all of them up to 2,000 rows, less as the nearest lie nearer, and less in fewer dimensions."""
+    return min(1.0, (max(rows, 1) / 2000) ** (-0.38 * (32 / dim) ** 0.3))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -134,31 +134,19 @@ def _search(plan: Plan, dim: int, k: int, spare: int):
                     continue
                 for lo in range(starts[c], ends[c], 4096):
                     held = mine[lo : min(lo + 4096, ends[c])]
-                    s = u[qs] @ u[held].T
-                    r, m = np.nonzero(s > floor[qs][:, None])
-                    if not len(r):
+                    s = u[held] @ u[qs].T
+                    better = np.nonzero(s.max(0) > floor[qs])[0]
+                    if not len(better):
                         continue
-                    ok = own[qs[r]] != own[held[m]]
-                    r, m = r[ok], m[ok]
-                    if not len(r):
-                        continue
-                    v = s[r, m]
-                    # the best of each query in this cell, merged with what it has
-                    o = np.lexsort((-v, r))
-                    r, m, v = r[o], m[o], v[o]
-                    first = np.searchsorted(r, r, "left")
-                    place = np.arange(len(r)) - first
-                    keep = place < width
-                    r, m, v, place = r[keep], m[keep], v[keep], place[keep]
-                    changed, row = np.unique(r, return_inverse=True)
-                    target = qs[changed]
-                    new_v = np.full((len(changed), width), -2.0, np.float32)
-                    new_w = np.full((len(changed), width), -1, np.int64)
-                    new_v[row, place], new_w[row, place] = v, held[m]
-                    all_v, all_w = np.concatenate([best[target], new_v], 1), np.concatenate([who[target], new_w], 1)
-                    top = np.argpartition(-all_v, width - 1, axis=1)[:, :width]
-                    best[target], who[target] = np.take_along_axis(all_v, top, 1), np.take_along_axis(all_w, top, 1)
-                    floor[target] = best[target].min(1)
+                    target = qs[better]
+                    new = s[:, better].T
+                    new[own[target][:, None] == own[held][None, :]] = -2.0
+                    both = np.concatenate([best[target], new], axis=1)
+                    top = np.argpartition(-both, width - 1, axis=1)[:, :width]
+                    values = np.take_along_axis(both, top, 1)
+                    names = np.where(top < width, np.take_along_axis(who[target], np.minimum(top, width - 1), 1), held[np.maximum(top - width, 0)])
+                    best[target], who[target] = values, np.where(values > -2.0, names, -1)
+                    floor[target] = values.min(1)
         q, p = np.nonzero(who >= 0)
         o = who[q, p]
         a, b = x[q].astype(np.float64), x[o].astype(np.float64)
@@ -190,7 +178,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, *, k: int = 5, own:
     sample = _unit(sample) if len(sample) else sample
     found = None
     for n in range(tables):
-        plan = Plan(dim, rows, sample, (share_probed(rows) if probes is None else probes) / tables, seed + n)
+        plan = Plan(dim, rows, sample, (share_probed(rows, dim) if probes is None else probes) / tables, seed + n)
         routed = kept.select("key", "own", "vec").mapInArrow(_route(plan, dim), "grp int, chunk int, key long, own long, member boolean, reach float, vec array<float>")
         part = routed.groupBy("grp", "chunk").applyInArrow(_search(plan, dim, k, 3), "key long, own long, other long, other_own long, cosine double")
         found = part if found is None else found.unionByName(part)
