@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillrank.sources import current_rows, read_table
 
-from . import distinctiveness, leakage, neighbours, packing, splitting, term_frequency
+from . import distinctiveness, leakage, near_duplicates, neighbours, packing, splitting, term_frequency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +61,37 @@ def p1_frequencies(spark, folder):
     return term_frequency.term_frequencies(current(spark, folder, HYBRID, "body_tsv"), "body_tsv")
 
 
+# ---- 3
+
+
+def _duplicates(spark, folder):
+    return (
+        (LATE, near_duplicates.near_texts(current(spark, folder, LATE, "body"), "id", "body")),
+        (HYBRID, near_duplicates.near_vectors(current(spark, folder, HYBRID, "embedding"), "id", "embedding", 32)),
+    )
+
+
+@query(
+    "p3_found",
+    f"""with w as (select id::bigint as id, unnest(list_distinct(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+'))) as word from {_now(LATE)}),
+    c as (select id, count(*) as n from w group by id),
+    j as (select x.id as a, y.id as b, count(*) as n from w x join w y using (word) where x.id < y.id group by x.id, y.id),
+    v as (select id::bigint as id, embedding::double[] as v from {_now(HYBRID)} where embedding is not null and list_inner_product(embedding::double[], embedding::double[]) > 0)
+    select '{LATE}' as table_name, a as id_a, b as id_b from j join c p on p.id = a join c q on q.id = b where j.n >= 0.75 * (p.n + q.n - j.n)
+    union all select '{HYBRID}', x.id, y.id from v x join v y on x.id < y.id
+    where list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v) * list_inner_product(y.v, y.v)) >= 0.98""",
+)
+def p3_found(spark, folder):
+    parts = [d.pairs().select(F.lit(name).alias("table_name"), "id_a", "id_b") for name, d in _duplicates(spark, folder)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("p3_groups")
+def p3_groups(spark, folder):
+    parts = [d.groups().withColumn("table_name", F.lit(name)) for name, d in _duplicates(spark, folder)]
+    return parts[0].unionByName(parts[1])
+
+
 # ---- 4
 
 _BODY = "trim(body, ' ' || chr(10) || chr(13))"
