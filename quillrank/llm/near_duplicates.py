@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 
 from quillrank.sources import stage_table
 
-from .arrow import batch, matrix, mix64
+from .arrow import batch, matrix, mix64, ranges
 from .bktree import Forest
 from .components import connected_components
 from .neighbours import USABLE
 
-ORDER_ROWS, ORDER_WORDS, BLOCK_ROWS, CHUNK_ROWS = 20_000, 65_536, 20_000, 50_000
+SAMPLE_ROWS, SAMPLE_WORDS, COMMON_ROWS, BLOCK_ROWS, CHUNK_ROWS = 20_000, 1024, 300, 20_000, 50_000
+LADDER, RATIO = 1024, 1.1
 TABLES, TABLE_BITS, CODE_BITS = 20, 16, 128
 _ROWS = "shard long, id long, reach float, c0 long, c1 long"
 _SCHEMA = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("reach", pa.float32()), ("c0", pa.int64()), ("c1", pa.int64())])
@@ -26,8 +28,8 @@ _SCHEMA = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("reach", pa.flo
 def code_pairs(rows: DataFrame) -> DataFrame:
     """Distinct pairs ``a, b`` of ids in one shard whose codes lie within the sum of their ``reach`` in Hamming distance, the smaller reach being at least 3/4 of the larger.
 
-    The rows of a shard come to one task in a row, and its BK-tree lives only there. Each row searches the
-    tree of its shard with the radius of twice its own reach, for partners of no larger reach.
+    The rows of a shard come to one task in a row, and its BK-trees live only there, one for every step of a ladder of
+    reaches. Each row searches the trees of its own step and of those below down to 3/4 of its reach, with the radius of twice its own reach.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -58,9 +60,12 @@ def code_pairs(rows: DataFrame) -> DataFrame:
             return
         shard, ids, reach = shard[company], ids[company], reach[company]
         codes = np.stack([t.column(c).to_numpy()[company] for c in ("c0", "c1")], axis=1).view(np.uint64)
-        tree = Forest(codes, shard)
+        number = np.cumsum(np.concatenate([[0], shard[1:] != shard[:-1]])) * LADDER
+        rung = np.floor(np.log(np.maximum(reach, 0.01) * 100) / np.log(RATIO)).astype(np.int64)
+        tree = Forest(codes, number + rung)
+        radius = np.floor(2 * reach + 1e-4).astype(np.int64)
         found = [np.zeros((0, 2), np.int64)]
-        for q, n in tree.search(codes, shard, np.floor(2 * reach + 1e-4).astype(np.int64)):
+        for q, n in itertools.chain.from_iterable(tree.search(codes, number + rung - k, radius) for k in range(math.ceil(math.log(4 / 3) / math.log(RATIO)) + 1)):
             fit = ((reach[n] < reach[q]) | ((reach[n] == reach[q]) & (ids[n] < ids[q]))) & (reach[n] >= 0.75 * reach[q] - 1e-4) & (ids[n] != ids[q])
             q, n = q[fit], n[fit]
             d = np.bitwise_count(codes[q] ^ codes[n]).sum(axis=1, dtype=np.int64)
@@ -85,57 +90,82 @@ def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), hashed.alias("words")).where("id is not null and size(words) > 0")
 
 
-def _order(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The commoner words of a bounded sample, sorted, with their counts there, and how many rows one of the sample stands for.
+class _Router:
+    """Which shards a word set belongs to.
 
-    Any one order of the words keeps every qualifying pair; this one keeps common words out of the prefixes.
+    In one order of all words, rarest first, two qualifying sets share one of their first p = size - ceil(share * size) + 1 words,
+    and two of their first p + 1. A word that is not common has a shard of its own for the sets that have it among their first p; where the
+    first shared word is a common one, so is the second, and the two have a shard together. Shards that a sample shows to hold over ``BLOCK_ROWS`` rows
+    are split into blocks, and every two blocks meet in a shard of their own.
+
+    The sample (``SAMPLE_ROWS`` sets of up to ``SAMPLE_WORDS`` words) only orders the words and finds the large shards; any order keeps every pair.
     """
-    step = max(1, rows // ORDER_ROWS)
-    counted = sets.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select(F.explode("words").alias("w")).groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(ORDER_WORDS)
-    got = counted.toArrow()
-    words, counts = got.column("w").to_numpy(), got.column("count").to_numpy()
-    order = np.argsort(words)
-    return words[order], counts[order], step
+
+    def __init__(self, sample: pa.Array, step: int, share: float):
+        self.share, self.step = share, step
+        self.known, self.counts = np.unique(pc.list_flatten(sample).to_numpy(zero_copy_only=False), return_counts=True)
+        several = self.counts > 1
+        self.known, self.counts = self.known[several], self.counts[several]
+        self.hot, self.blocks = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        shards, counts = np.unique(self.plain(sample)[1], return_counts=True)
+        large = counts * step > BLOCK_ROWS
+        self.hot, self.blocks = shards[large], np.ceil(counts[large] * step / BLOCK_ROWS).astype(np.int64)
+
+    def plain(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row number and shard, before large shards are split."""
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        mixed = mix64(words)
+        at = np.minimum(np.searchsorted(self.known, words), max(len(self.known) - 1, 0))
+        seen = np.where(self.known[at] == words, self.counts[at], 1) if len(self.known) else np.ones(len(words), np.int64)
+        order = np.lexsort((mixed, seen, doc))
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = (sizes - np.ceil(self.share * sizes - 1e-9).astype(np.int64) + 1)[doc]
+        common = (seen * self.step > COMMON_ROWS)[order] & (seen[order] > 1)
+        single = ~common & (place < first)
+        start = np.nonzero(common & (place < first))[0]
+        end = np.minimum((np.cumsum(sizes) - sizes + first[np.minimum(np.cumsum(sizes) - sizes, max(len(words) - 1, 0))] + 1)[doc], np.cumsum(sizes)[doc])[start] if len(start) else start
+        one, two = ranges(start + 1, end)
+        a, b = mixed[order[start[one]]], mixed[order[two]]
+        rows = np.concatenate([doc[single], doc[start[one]]])
+        return rows, np.concatenate([mixed[order[single]], mix64(a * np.uint64(3) + b)]).view(np.int64)
+
+    def shards(self, lists: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, shard = self.plain(lists)
+        if not len(self.hot):
+            return rows, shard
+        at = np.minimum(np.searchsorted(self.hot, shard), len(self.hot) - 1)
+        blocks = np.where(self.hot[at] == shard, self.blocks[at], 1)
+        mine = (mix64(ids[rows]) % blocks.astype(np.uint64)).astype(np.int64)
+        again, other = ranges(np.zeros(len(rows), np.int64), blocks)
+        low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
+        split = blocks[again] > 1
+        return rows[again], np.where(split, (shard[again].view(np.uint64) + mix64(low * 1_000_003 + high + 1)).view(np.int64), shard[again])
 
 
 def text_pairs(sets: DataFrame, *, share: float = 0.75) -> DataFrame:
     """``a, b`` of every two ids whose word sets have at least ``share`` of their words in common. Ids must be unique.
 
     Code: every word flips one of 128 bits. Two sets that differ in d words have codes at Hamming distance d at most, and qualifying sets differ in no more than
-    (1 - share) / (1 + share) of the sum of their sizes: the radius loses nothing. Shards: in one order of all words, qualifying
-    sets share one of their first size - ceil(share * size) + 1 words; there is a shard for each word. Shards of a word
-    with more than ``BLOCK_ROWS`` rows are split into blocks, and every two blocks meet in a shard of their own. The exact share is computed last.
+    (1 - share) / (1 + share) of the sum of their sizes: the radius loses nothing. Shards: see ``_Router``. The exact share is computed last.
     """
     if not 0.75 <= share <= 1:
         raise ValueError("share must be from 0.75 to 1")
-    known, counts, step = _order(sets, sets.count())
-    part = (1 - share) / (1 + share)
+    step = max(1, sets.count() // SAMPLE_ROWS)
+    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select(F.slice("words", 1, SAMPLE_WORDS).alias("words")).limit(2 * SAMPLE_ROWS).toArrow().column("words").combine_chunks()
+    router, part = _Router(sample, step, share), (1 - share) / (1 + share)
+    shared = sets.sparkSession.sparkContext.broadcast(router)
 
     def route(batches):
         for b in batches:
-            lists = b.column(1)
+            lists, ids = b.column(1), b.column(0).to_numpy(zero_copy_only=False)
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            words = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            mixed = mix64(words)
-            bit = (mixed >> np.uint64(20)) & np.uint64(CODE_BITS - 1)
-            odd = (np.bincount(doc * CODE_BITS + bit.astype(np.int64), minlength=len(sizes) * CODE_BITS) & 1).reshape(-1, 2, 64).astype(np.uint64)
-            codes = (odd << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
-            at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-            seen = np.where(known[at] == words, counts[at], 1) if len(known) else np.ones(len(words), np.int64)
-            order = np.lexsort((mixed, seen, doc))
-            place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            prefix = sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1
-            kept = order[place < prefix[doc[order]]]
-            d, w = doc[kept], words[kept]
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            blocks = np.where(seen[kept] > 1, np.ceil(seen[kept] * step / BLOCK_ROWS), 1).astype(np.int64)
-            mine = (mix64(ids[d]) % blocks.astype(np.uint64)).astype(np.int64)
-            again = np.repeat(np.arange(len(d)), blocks)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
-            shard = (w[again].astype(np.uint64) + mix64((low * 1_000_003 + high).astype(np.uint64)) * (blocks[again] > 1)).view(np.int64)
-            d = d[again]
+            bit = (mix64(pc.list_flatten(lists).to_numpy(zero_copy_only=False)) >> np.uint64(20)) & np.uint64(CODE_BITS - 1)
+            cell = np.repeat(np.arange(len(sizes)), sizes) * CODE_BITS + bit.astype(np.int64)
+            odd = np.bincount(cell, minlength=len(sizes) * CODE_BITS).reshape(-1, CODE_BITS).astype(np.uint8) & 1
+            codes = np.packbits(odd, axis=1).view(np.int64)
+            d, shard = shared.value.shards(lists, ids)
             yield batch(_SCHEMA, shard, ids[d], (sizes[d] * part).astype(np.float32), codes[d, 0], codes[d, 1])
 
     candidates = stage_table(code_pairs(sets.select("id", "words").mapInArrow(route, _ROWS)), "pairs")
