@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillrank.sources import current_rows, read_table
 
-from . import distinctiveness, leakage, near_duplicates, neighbours, packing, splitting, term_frequency
+from . import clustering, distinctiveness, leakage, near_duplicates, neighbours, packing, splitting, term_frequency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,6 +179,40 @@ def near_tokens(spark, folder):
     return neighbours.nearest(rows.select((F.col("id") * ORD + F.col("ord")).alias("key"), "id", "vec"), "key", "vec", 16, own="id")
 
 
+# ---- 7
+
+
+def _mean_vector(column: str, dim: int):
+    """The direction of the mean of the vectors of an array of vectors, those of another length left out: their sum."""
+    good = f"filter({column}, v -> size(v) = {dim})"
+    added = f"aggregate({good}, array_repeat(0D, {dim}), (s, v) -> zip_with(s, v, (x, y) -> x + y))"
+    return F.expr(f"if(size({good}) > 0, transform({added}, x -> cast(x as float)), null)")
+
+
+def _clusters(spark, folder):
+    documents = clustering.cluster(current(spark, folder, HYBRID, "embedding"), "id", "embedding", 32)
+    passages = clustering.cluster(current(spark, folder, PASSAGES, "tokens").select("id", _mean_vector("tokens", 16).alias("vec")), "id", "vec", 16)
+    return (HYBRID, documents), (PASSAGES, passages)
+
+
+@query("p7_found")
+def p7_found(spark, folder):
+    samples = read_table(spark, folder, "cluster_exemplars").limit(10_000).collect()  # one for each expected cluster
+    both = None
+    for name, found in _clusters(spark, folder):
+        held = [(r.exemplar_id, [sum(c) / len(r.vectors) for c in zip(*r.vectors)]) for r in samples if r.table_name == name and r.vectors]
+        wanted = spark.createDataFrame(list(clustering.match(found, held).items()) or [], "exemplar_id int, cluster long")
+        part = found.members.join(F.broadcast(wanted), "cluster").select("exemplar_id", "id")
+        both = part if both is None else both.unionByName(part)
+    return both
+
+
+@query("p7_clusters")
+def p7_clusters(spark, folder):
+    parts = [c.summary().withColumn("table_name", F.lit(name)) for name, c in _clusters(spark, folder)]
+    return parts[0].unionByName(parts[1])
+
+
 # ---- 8
 
 
