@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillrank.sources import current_rows, read_table
 
-from . import clustering, distinctiveness, leakage, near_duplicates, neighbours, packing, splitting, term_frequency
+from . import clustering, distinctiveness, leakage, near_duplicates, neighbours, packing, ranking, splitting, term_frequency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +61,22 @@ def p1_frequencies(spark, folder):
     return term_frequency.term_frequencies(current(spark, folder, HYBRID, "body_tsv"), "body_tsv")
 
 
+# ---- 2
+
+
+@query("p2_ranking")
+def p2_ranking(spark, folder):
+    docs = current(spark, folder, HYBRID, "embedding", "body_tsv").select("id", F.col("embedding").alias("vec"), F.col("body_tsv").alias("terms"))
+    passages = current(spark, folder, PASSAGES, "document_id", "colbert").select("document_id", F.col("colbert").alias("late"))
+    asked = read_table(spark, folder, "search_queries").select("query_id", F.col("vector_query").alias("vec"), F.col("text_query").alias("terms"), F.col("multivector_query").alias("late"))
+    return ranking.rank_documents(docs, passages, asked, dense_dim=32, late_dim=16)
+
+
+@query("p2_found")
+def p2_found(spark, folder):
+    return QUERIES["p2_ranking"](spark, folder).select("query_id", "id")
+
+
 # ---- 3
 
 
