@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillrank.sources import current_rows, read_table
 
-from . import clustering, distinctiveness, leakage, near_duplicates, neighbours, packing, ranking, splitting, term_frequency
+from . import clustering, distinctiveness, leakage, near_duplicates, neighbours, packing, ranking, splitting, subjects, term_frequency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -261,3 +261,25 @@ def p9_found(spark, folder):
 def p9_near(spark, folder):
     found = leakage.find_leaks(read_table(spark, folder, "documents"), "doc_id", "text", read_table(spark, folder, "eval_items"), "item_id", "text", width=12, edits=2)
     return found.select(F.col("id").alias("doc_id"), "item_id", "windows", "first_word")
+
+
+# ---- 10
+
+
+def _subjects(spark, folder):
+    names = [r.subject for r in read_table(spark, folder, "subjects").orderBy("subject").limit(1000).collect() if r.subject]
+    documents = read_table(spark, folder, "documents")
+    chain = subjects.train(documents, "doc_id", "text", "source", read_table(spark, folder, "subject_labels"), "doc_id", "subject", names)
+    return documents, subjects.assign_subjects(documents, "doc_id", "text", "source", chain)
+
+
+@query("p10_found")
+def p10_found(spark, folder):
+    return _subjects(spark, folder)[1].select(F.col("id").alias("doc_id"), "subject")
+
+
+@query("p10_makeup")
+def p10_makeup(spark, folder):
+    documents, found = _subjects(spark, folder)
+    about = documents.select(F.col("doc_id").alias("id"), F.coalesce(F.regexp_extract(F.lower(F.col("lang")), "^([a-z]+)", 1), F.lit("und")).alias("lang"), "source")
+    return about.join(found, "id").groupBy("lang", "source", "subject").agg(F.count("*").alias("documents"))
