@@ -16,27 +16,26 @@ _SPACE = re.compile(r"\s+")
 _EDGE = " \r\n"
 
 
-def cut_points(strong: np.ndarray, weak: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int, overlap: int) -> np.ndarray:
+def cut_points(strong: np.ndarray, weak: np.ndarray, hard: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int, overlap: int) -> np.ndarray:
     """All ends of pieces of many items that lie one after another on one axis (``starts`` to ``ends``, with gaps between items).
 
     After a piece that ends at p the next one starts at p - ``overlap`` and so may reach to p + ``limit`` - ``overlap``. The
-    successor of every boundary is the farthest strong boundary in that reach, or the farthest weak one where there is no
-    strong one. The successor table is squared until nothing new is reached: after k rounds all cuts within 2^k pieces
+    successor of every boundary is the farthest strong boundary in that reach, else the farthest weak one, else the farthest hard one. The successor table is squared until nothing new is reached: after k rounds all cuts within 2^k pieces
     of a start are known, for all items at once.
 
-    ``weak`` must leave no gap over ``limit`` - ``overlap`` within an item; ``strong`` must hold the ends.
+    ``hard`` must hold all points and leave no gap over ``limit`` - ``overlap`` within an item; ``strong`` must hold the ends.
     """
     reach = limit - overlap
-    nodes = np.unique(np.concatenate([strong, weak, starts + limit - reach]))
-    nodes = nodes[(nodes >= 0)]
+    nodes = np.unique(np.concatenate([hard, starts + overlap]))
 
     def farthest(points: np.ndarray, at: np.ndarray) -> np.ndarray:
         found = points[np.maximum(np.searchsorted(points, at + reach, side="right") - 1, 0)]
         return np.where((found > at) & (found <= at + reach), found, -1)
 
     best = farthest(strong, nodes)
-    if (lost := best < 0).any():
-        best[lost] = farthest(weak, nodes[lost])
+    for points in (weak, hard):
+        if len(points) and (lost := best < 0).any():
+            best[lost] = farthest(points, nodes[lost])
     owner_end = ends[np.clip(np.searchsorted(starts, nodes, side="right") - 1, 0, len(ends) - 1)]
     stop = (nodes >= owner_end) | (best < 0)
     successor = np.searchsorted(nodes, np.where(stop, nodes, np.minimum(best, owner_end)))
@@ -66,11 +65,13 @@ def _pieces(items: list[tuple[int, np.ndarray, np.ndarray]], limit: int, overlap
     lengths = np.array([n for n, _, _ in items], np.int64)
     starts = np.cumsum(lengths + 2 * limit) - lengths - 2 * limit
     strong = [np.append(s[(s > 0) & (s < n)], n) for n, s, _ in items]
-    weak = []
-    for (n, _, w), s in zip(items, strong):
-        points = np.unique(np.concatenate([[0], s, w[(w > 0) & (w < n)]])).astype(np.int64)
-        weak.append(np.concatenate([points[1:], _grid(points, limit - overlap), np.minimum([limit], n)]))
-    cuts = cut_points(np.unique(np.concatenate([s + a for s, a in zip(strong, starts)])), np.unique(np.concatenate([w + a for w, a in zip(weak, starts)])), starts, starts + lengths, limit, overlap)
+    weak = [w[(w > 0) & (w < n)] for n, _, w in items]
+    hard = []
+    for s, w in zip(strong, weak):
+        points = np.unique(np.concatenate([[0], s, w])).astype(np.int64)
+        hard.append(np.concatenate([points[1:], _grid(points, limit - overlap), [limit]]))
+    laid = [np.unique(np.concatenate([p + a for p, a in zip(points, starts)])) for points in (strong, weak, hard)]
+    cuts = cut_points(*laid, starts, starts + lengths, limit, overlap)
     owner = np.searchsorted(starts, cuts, side="left") - 1
     ends = cuts - starts[owner]
     first = np.searchsorted(owner, np.arange(len(items)))
