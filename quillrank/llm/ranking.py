@@ -17,6 +17,7 @@ from .arrow import batch, clean_terms, matrix
 QUERY_BLOCK, BINS, DOC_BLOCK, HOT_PASSAGES = 512, 1024, 1024, 4096
 _NORMAL = NormalDist()
 K1, B = 1.2, 0.75
+COLUMNS = ("id", "vec", "terms", "late", "hot")
 
 
 def normal_quantile(p: np.ndarray) -> np.ndarray:
@@ -53,27 +54,57 @@ class Queries:
         self.mean_length, self.n = 1.0, 0
 
 
-def _text_statistics(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, float, np.ndarray]:
-    """The number of records with a non-NULL array, their mean length, and in how many each wanted term is."""
-    names = sorted(vocabulary)
-    schema = pa.schema([("term", pa.int32()), ("records", pa.int64())])
-
-    def count(batches):
-        index, found, n, length = pa.array(names, pa.string()), np.zeros(len(names), np.int64), 0, 0
-        for b in batches:
-            lists = b.column(0)
-            n += len(lists) - lists.null_count
-            rows, terms = clean_terms(lists)
-            length += len(rows)
-            at = pc.fill_null(pc.index_in(terms, value_set=index), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = at >= 0
-            pairs = np.unique(rows[hit] * max(1, len(names)) + at[hit])
-            found += np.bincount(pairs % max(1, len(names)), minlength=len(names))[: len(names)]
-        yield batch(schema, np.concatenate([np.arange(len(names)), [-1, -2]]), np.concatenate([found, [n, length]]))
-
-    got = {r[0]: r[1] for r in docs.select("terms").mapInArrow(count, "term int, records long").groupBy("term").agg(F.sum("records")).collect()}
-    n = got.get(-1, 0)
-    return n, got.get(-2, 0) / max(n, 1), np.array([got.get(i, 0) for i in range(len(names))], np.float64)
+def _statistics(docs: DataFrame, shared, late_dim: int) -> tuple[int, float, np.ndarray, np.ndarray, np.ndarray]:
+    """In one reading: the number of records with a non-NULL array of terms, their mean length, in how many each wanted term is, and the least and largest late score of each query."""
+    held = shared.value
+    names, count = sorted(held.vocabulary), len(held.ids)
+    schema = pa.schema([("what", pa.int32()), ("at", pa.int32()), ("n", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+
+    def read(batches):
+        index, found, n, length = pa.array(names, pa.string()), np.zeros(len(names) + 1, np.int64), 0, 0
+        low, high = np.full(count, np.inf), np.full(count, -np.inf)
+        for whole in batches:
+            for b in (whole.slice(i, DOC_BLOCK) for i in range(0, whole.num_rows, DOC_BLOCK)):
+                lists = b.column("terms")
+                n += len(lists) - lists.null_count
+                rows, terms = clean_terms(lists)
+                length += len(rows)
+                at = pc.fill_null(pc.index_in(terms, value_set=index), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                pairs = np.unique(rows[at >= 0] * len(found) + at[at >= 0])
+                found += np.bincount(pairs % len(found), minlength=len(found))
+                best = _document_scores(shared.value, b, late_dim)
+                if best is not None:
+                    low, high = np.minimum(low, np.where(np.isneginf(best), np.inf, best).min(axis=1)), np.maximum(high, best.max(axis=1))
+        none = np.zeros(len(found))
+        yield batch(schema, np.zeros(len(found), np.int32), np.arange(len(found)), found, none, none)
+        yield batch(schema, np.ones(2, np.int32), np.arange(2), np.array([n, length]), np.zeros(2), np.zeros(2))
+        good = np.nonzero(high >= low)[0]
+        yield batch(schema, np.full(len(good), 2), good, np.zeros(len(good), np.int64), low[good], high[good])
+
+    got = docs.select("terms", "late", "hot").mapInArrow(read, "what int, at int, n long, low double, high double").groupBy("what", "at").agg(F.sum("n"), F.min("low"), F.max("high")).collect()
+    number = {(r[0], r[1]): r[2] for r in got}
+    low, high = np.zeros(count), np.ones(count)
+    for r in got:
+        if r[0] == 2:
+            low[r[1]], high[r[1]] = r[3], r[4]
+    n = number.get((1, 0), 0)
+    return n, number.get((1, 1), 0) / max(n, 1), np.array([number.get((0, i), 0) for i in range(len(names))], np.float64), low, high
+
+
+def _document_scores(q: Queries, b: pa.RecordBatch, late_dim: int) -> np.ndarray | None:
+    """The best passage's MaxSim of each query and document of a batch, from the passages' vectors in ``late`` or, for documents with very many, from ``hot``; None where there is none."""
+    out = np.full((len(q.ids), b.num_rows), -np.inf)
+    passages = pc.list_flatten(b.column("late"))
+    if len(passages):
+        doc = pc.list_parent_indices(b.column("late")).to_numpy(zero_copy_only=False).astype(np.int64)
+        vectors, owner = _passage_vectors(passages, late_dim)
+        scores = _late_scores(q, vectors, owner, len(passages))
+        first = np.nonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))[0]
+        out[:, doc[first]] = np.maximum.reduceat(scores, first, axis=1)
+    sizes = pc.fill_null(pc.list_value_length(b.column("hot")), 0).to_numpy(zero_copy_only=False)
+    if (sizes > 0).any():
+        out[:, sizes > 0] = pc.list_flatten(b.column("hot")).to_numpy(zero_copy_only=False).reshape(-1, len(q.ids)).T
+    return out if (out > -np.inf).any() else None
 
 
 def _late_scores(q: Queries, vectors: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -138,11 +169,9 @@ class Scorer:
             table[t, d] = weight
             lexical = q.uses.T.astype(np.float64) @ table
             scores[1] = np.where(lexical > 0, lexical, -np.inf)
-        best = b.column("late").flatten().to_numpy(zero_copy_only=False)
-        sizes = pc.fill_null(pc.list_value_length(b.column("late")), 0).to_numpy(zero_copy_only=False)
-        held = sizes > 0
-        if held.any():
-            scores[2][:, held] = best.reshape(-1, len(q.ids)).T
+        best = _document_scores(q, b, self.late_dim)
+        if best is not None:
+            scores[2] = best
         return b.column("id").to_numpy(zero_copy_only=False), scores
 
 
@@ -170,13 +199,20 @@ def rank_documents(docs: DataFrame, passages: DataFrame, queries: DataFrame, *,
     usable vector, no term in common, no passage) is below all others, and all that lack it are tied. A query without a part has all documents
     tied in it. Documents with a NULL id and passages of no document are left out; ids must be unique. An empty table gives no rows.
 
-    Exact, in three readings of documents that were scored from blocks of at most ``QUERY_BLOCK`` queries: 1. a histogram of every score; it bounds every percentile
+    Passages are brought to their documents once, as vectors, so that what moves does not depend on the number of queries; documents with more than
+    ``HOT_PASSAGES`` of them have theirs scored where they lie, and only the maxima move. Exact, in three readings for each block of at most ``QUERY_BLOCK`` queries: 1. a histogram of every score; it bounds every percentile
     from both sides. 2. documents whose upper bound reaches the ``k``-th largest lower bound seen by their task are candidates: no document of the first ``k`` can be missing.
     3. the numbers of documents below and level with each candidate are counted, which gives its exact percentiles.
     """
     whole = docs.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"), "terms").where("id is not null")
+    late = passages.select(F.col("document_id").cast("long").alias("id"), F.col("late").cast("array<array<float>>").alias("late")).where("id is not null and size(late) > 0")
+    many = late.groupBy("id").count().where(F.col("count") > HOT_PASSAGES).select("id")
+    many = stage_table(many, "many")
+    any_hot = not many.isEmpty()
+    few = late.join(many, "id", "left_anti") if any_hot else late
+    whole = whole.join(few.groupBy("id").agg(F.collect_list("late").alias("late")), "id", "left")
     whole = stage_table(whole, "docs")
-    late = stage_table(passages.select(F.col("document_id").cast("long").alias("id"), F.col("late").cast("array<array<float>>").alias("late")).where("id is not null and size(late) > 0"), "passages")
+    hot = stage_table(late.join(many, "id"), "passages") if any_hot else None
     n = whole.count()
     listed = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>"), "terms", F.col("late").cast("array<array<double>>")).where("query_id is not null")
     blocks = max(1, -(-listed.count() // QUERY_BLOCK))
@@ -186,7 +222,7 @@ def rank_documents(docs: DataFrame, passages: DataFrame, queries: DataFrame, *,
         rows = [tuple(r) for r in block.collect()]
         if not rows or not n:
             continue
-        part = _rank(whole, late, Queries(rows, dense_dim, late_dim), n, dense_dim, late_dim, np.array(weights, np.float64), k)
+        part = _rank(whole, hot, Queries(rows, dense_dim, late_dim), n, dense_dim, late_dim, np.array(weights, np.float64), k)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return whole.sparkSession.createDataFrame([], "query_id long, id long, rank int, score double, z_dense double, z_lexical double, z_late double")
@@ -235,28 +271,17 @@ def _best_passages(late: DataFrame, q: Queries, late_dim: int, shared) -> DataFr
     return partial.repartition("id").sortWithinPartitions("id").mapInArrow(fold, "id long, late array<double>")
 
 
-def _rank(docs: DataFrame, late: DataFrame, q: Queries, n: int, dense_dim: int, late_dim: int, weights: np.ndarray, k: int) -> DataFrame:
+def _rank(docs: DataFrame, hot: DataFrame | None, q: Queries, n: int, dense_dim: int, late_dim: int, weights: np.ndarray, k: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
-    q.n, q.mean_length, df = _text_statistics(docs, q.vocabulary)
+    first = context.broadcast(q)
+    if hot is None:
+        routed = docs.withColumn("hot", F.lit(None).cast("array<double>"))
+    else:
+        routed = stage_table(docs.join(_best_passages(hot, q, late_dim, first).withColumnRenamed("late", "hot"), "id", "left"), "scored")
+    q.n, q.mean_length, df, late_low, late_high = _statistics(routed, first, late_dim)
     q.idf = np.log(1 + (q.n - df + 0.5) / (df + 0.5))
     shared = context.broadcast(q)
-    routed = docs.join(_best_passages(late, q, late_dim, shared), "id", "left")
-    routed = stage_table(routed.select("id", "vec", "terms", "late"), "scored")
     count = len(q.ids)
-    ends = pa.schema([("q", pa.int32()), ("low", pa.float64()), ("high", pa.float64())])
-
-    def span(batches):
-        lowest, highest = np.full(count, np.inf), np.full(count, -np.inf)
-        for b in batches:
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, count)
-            if len(x):
-                lowest, highest = np.minimum(lowest, np.where(np.isneginf(x), np.inf, x).min(axis=0)), np.maximum(highest, x.max(axis=0))
-        held = np.nonzero(highest >= lowest)[0]
-        yield batch(ends, held, lowest[held], highest[held])
-
-    late_low, late_high = np.zeros(count), np.ones(count)
-    for r in routed.where("late is not null").select("late").mapInArrow(span, "q int, low double, high double").groupBy("q").agg(F.min("low"), F.max("high")).collect():
-        late_low[r[0]], late_high[r[0]] = r[1], r[2]
     lexical = (q.idf * (K1 + 1)) @ q.uses
     low = np.stack([np.full(count, -1.0), np.zeros(count), late_low])
     high = np.stack([np.ones(count), np.maximum(lexical, 1e-9), late_high])
@@ -270,7 +295,7 @@ def _rank(docs: DataFrame, late: DataFrame, q: Queries, n: int, dense_dim: int,
         used = np.nonzero(total)[0]
         yield batch(pa.schema([("cell", pa.int64()), ("n", pa.int64())]), used, total[used])
 
-    cells = routed.mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = routed.select(*COLUMNS).mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(3 * count * wide, np.int64)
     table[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     table = table.reshape(3, count, wide)
@@ -302,7 +327,7 @@ def _rank(docs: DataFrame, late: DataFrame, q: Queries, n: int, dense_dim: int,
             good = good[_first_of_each(row[good], ids[good], s[good], k)]
             yield batch(names, row[good], ids[good], *s[good].T)
 
-    chosen = stage_table(routed.mapInArrow(candidates, "q int, id long, s0 double, s1 double, s2 double"), "candidates")
+    chosen = stage_table(routed.select(*COLUMNS).mapInArrow(candidates, "q int, id long, s0 double, s1 double, s2 double"), "candidates")
     return _exact(routed, chosen, shared, q, n, dense_dim, late_dim, weights, k, low, high, below, table, bounds)
 
 
@@ -351,7 +376,7 @@ def _exact(routed, chosen, shared, q, n, dense_dim, late_dim, weights, k, low, h
         used = np.nonzero(lower + equal)[0]
         yield batch(pa.schema([("at", pa.int64()), ("lower", pa.int64()), ("equal", pa.int64())]), used, lower[used], equal[used])
 
-    counted = routed.mapInArrow(ranks, "at long, lower long, equal long").groupBy("at").agg(F.sum("lower").alias("lower"), F.sum("equal").alias("equal")).toArrow()
+    counted = routed.select(*COLUMNS).mapInArrow(ranks, "at long, lower long, equal long").groupBy("at").agg(F.sum("lower").alias("lower"), F.sum("equal").alias("equal")).toArrow()
     lower, equal = np.zeros(offsets[-1]), np.zeros(offsets[-1])
     lower[counted.column("at").to_numpy()], equal[counted.column("at").to_numpy()] = counted.column("lower").to_numpy(), counted.column("equal").to_numpy()
     z = np.empty((3, len(row)))

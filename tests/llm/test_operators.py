@@ -45,7 +45,10 @@ def test_frequencies_of_nothing(spark):
 # ---- 2: ranking
 
 
-def test_ranking_against_brute_force(spark):
+@pytest.mark.parametrize("many", [4096, 3])
+def test_ranking_against_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(ranking, "HOT_PASSAGES", many)
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 512 if many > 3 else 2)
     rng = np.random.default_rng(8)
     n, dim = 300, 8
     vecs = unit(n, dim, rng).astype(np.float32)
