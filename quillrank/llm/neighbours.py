@@ -14,12 +14,10 @@ from quillrank.sources import stage_table
 from .arrow import batch, lists_of, matrix, mix64
 
 COPIES = 32
-MOST_HASHES, CELL_ROWS, GROUP_ROWS, QUERY_ROWS, QUERY_BLOCK, SAMPLE_ROWS = 12, 48, 60_000, 250_000, 16_384, 20_000
-#: How far the second turn reaches, as a share of the first one's reach.
-OTHERS = 0.8
-#: Below this share of the cells, recall among vectors without any structure falls under 0.9. A caller with structured data can pass less.
-LEAST_PROBED = 0.08
+MOST_HASHES, CELL_ROWS, GROUP_ROWS, QUERY_ROWS, QUERY_BLOCK, SAMPLE_ROWS = 12, 48, 60_000, 250_000, 8192, 20_000
 
+#: Below this share of the cells, recall among vectors without any structure falls under 0.9. A caller with structured data can pass less.
+LEAST_PROBED = 0.12
 #: A vector without NULL, NaN and infinite elements that is not all zero.
 USABLE = "exists(vec, x -> x != 0) and not exists(vec, x -> x is null or isnan(x) or abs(x) = float('infinity'))"
 
@@ -59,8 +57,8 @@ class Plan:
 
 
 def share_probed(rows: int, dim: int) -> float:
-    """The share of the cells that a query probes: all of them up to 2,000 rows, less as the nearest lie nearer, and less in fewer dimensions, but never under ``LEAST_PROBED``."""
-    return min(1.0, max(LEAST_PROBED, (max(rows, 1) / 2000) ** (-0.5 * (32 / dim) ** 0.3)))
+    """The share of the cells that a query probes: all of them up to 2,000 rows, less as the nearest lie nearer, and less in fewer dimensions, but never under ``LEAST_PROBED`` times the square of dim / 32."""
+    return min(1.0, max(LEAST_PROBED * (dim / 32) ** 2, (max(rows, 1) / 2000) ** (-0.38 * (32 / dim) ** 0.3)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -71,9 +69,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _route(plan: Plan, dim: int):
     """Each vector to the group of cells it lies in, as a member, and to every group it probes a cell of, as a query.
 
-    Queries go to one of ``plan.chunks`` copies of a group, members to all of them, so that neither outgrows a task; in the others they don't ask.
+    Queries go to one of ``plan.chunks`` copies of a group, members to all of them, so that neither outgrows a task. Rows that are members only have
+    a reach of -1.
     """
-    schema = pa.schema([("grp", pa.int32()), ("chunk", pa.int32()), ("key", pa.int64()), ("own", pa.int64()), ("member", pa.bool_()), ("asks", pa.bool_()), ("reach", pa.float32()), ("vec", pa.list_(pa.float32()))])
+    schema = pa.schema([("grp", pa.int32()), ("chunk", pa.int32()), ("key", pa.int64()), ("own", pa.int64()), ("member", pa.bool_()), ("reach", pa.float32()), ("vec", pa.list_(pa.float32()))])
     low = plan.hashes - plan.group_bits
 
     def route(batches):
@@ -91,10 +90,10 @@ def _route(plan: Plan, dim: int):
                 touched[np.arange(len(x)), home] = True
                 row, grp = np.nonzero(touched)
                 chunk = (mix64(keys) % np.uint64(plan.chunks)).astype(np.int32)
-                yield batch(schema, grp, chunk[row], keys[row], own[row], grp == home[row], np.ones(len(row), bool), reach[row], lists_of(x[row]))
+                yield batch(schema, grp, chunk[row], keys[row], own[row], grp == home[row], reach[row], lists_of(x[row]))
                 for c in range(plan.chunks if plan.chunks > 1 else 0):
                     o = np.nonzero(chunk != c)[0]
-                    yield batch(schema, home[o], np.full(len(o), c), keys[o], own[o], np.ones(len(o), bool), np.zeros(len(o), bool), reach[o], lists_of(x[o]))
+                    yield batch(schema, home[o], np.full(len(o), c), keys[o], own[o], np.ones(len(o), bool), np.full(len(o), -1.0), lists_of(x[o]))
 
     return route
 
@@ -124,72 +123,32 @@ def _search(plan: Plan, dim: int, k: int, spare: int):
         who = np.full((len(x), width), -1, np.int64)
         floor = np.full(len(x), -2.0, np.float32)
         used = np.nonzero(ends > starts)[0]
-        asks = t.column("asks").to_numpy(zero_copy_only=False)
-        home = np.full(len(x), -1, np.int64)
-        home[mine] = at - (grp << low)
-        own_cell, squared = plan.cell(gaps), gaps * gaps
-
-        def take(target: np.ndarray, new: np.ndarray, held: np.ndarray) -> None:
-            """Merge a block of new values (rows of ``target``, columns of ``held``) into the best of its rows."""
-            new[own[target][:, None] == own[held][None, :]] = -2.0
-            both = np.concatenate([best[target], new], axis=1)
-            top = np.argpartition(-both, width - 1, axis=1)[:, :width]
-            values = np.take_along_axis(both, top, 1)
-            names = np.where(top < width, np.take_along_axis(who[target], np.minimum(top, width - 1), 1), held[np.maximum(top - width, 0)])
-            best[target], who[target] = values, np.where(values > -2.0, names, -1)
-            floor[target] = values.min(1)
-
-        def give(s: np.ndarray, held: np.ndarray, qs: np.ndarray) -> None:
-            """The queries of a cell to its members, where they don't look into the query's cell themselves."""
-            open_ = np.nonzero(s.max(1) > floor[held])[0]
-            if not len(open_):
-                return
-            m, q = np.nonzero(s[open_] > floor[held[open_]][:, None])
-            value, m, q = s[open_[m], q], held[open_[m]], qs[q]
-            crossed = (plan.bits[own_cell[q]] > 0) != (gaps[m] > 0)
-            ok = ((squared[m] * crossed).sum(axis=1) > reach[m] + 2e-6) & (own[m] != own[q])
-            value, m, q = value[ok], m[ok], q[ok]
-            if not len(m):
-                return
-            o = np.lexsort((-value, m))
-            value, m, q = value[o], m[o], q[o]
-            target, first, row = np.unique(m, return_index=True, return_inverse=True)
-            place = np.arange(len(m)) - first[row]
-            keep = place < width
-            values, names = np.full((len(target), 2 * width), -2.0, np.float32), np.full((len(target), 2 * width), -1, np.int64)
-            values[:, :width], names[:, :width] = best[target], who[target]
-            values[row[keep], width + place[keep]], names[row[keep], width + place[keep]] = value[keep], q[keep]
-            top = np.argpartition(-values, width - 1, axis=1)[:, :width]
-            best[target], who[target] = np.take_along_axis(values, top, 1), np.take_along_axis(names, top, 1)
-            floor[target] = np.maximum(floor[target], best[target].min(1))
-
-        for c in used.tolist():
-            held = mine[starts[c] : ends[c]]
-            for target in (held[i : i + 4096] for i in range(0, len(held), 4096)):
-                for part in (held[i : i + 4096] for i in range(0, len(held), 4096)):
-                    take(target, u[target] @ u[part].T, part)
-        idle = mine[~asks[mine]]  # their own lists are made in another copy of the group; here they only learn what to ask for
-        who[idle], best[idle] = -1, -2.0
-        asking = np.nonzero(asks)[0]
-        asking = asking[np.argsort(own_cell[asking], kind="stable")]
-        for turn in ("own", "others") if plan.probed < plan.cells else ("own",):
-            for block in (asking[a : a + QUERY_BLOCK] for a in range(0, len(asking), QUERY_BLOCK)):
-                costs = np.ascontiguousarray(plan.costs(gaps[block], plan.bits[cells[used]]).T)
-                bound = reach[block] * (1 if turn == "own" else OTHERS) + 1e-6
-                for n in np.argsort(costs.mean(1), kind="stable").tolist():
-                    c = used[n]
-                    # a cell farther off than the worst of the best so far, of the query or of all members, can give nothing
-                    last = floor[block] if turn == "own" else floor[mine[starts[c] : ends[c]]].min()
-                    qs = block[(costs[n] <= np.minimum(bound, 2.00001 - 2 * last)) & (home[block] != c)]
-                    if not len(qs):
+        asking = np.nonzero(reach >= 0)[0]
+        asking = asking[np.argsort(plan.cell(gaps[asking]), kind="stable")]
+        for block in (asking[a : a + QUERY_BLOCK] for a in range(0, len(asking), QUERY_BLOCK)):
+            costs = np.ascontiguousarray(plan.costs(gaps[block], plan.bits[cells[used]]).T)
+            bound = reach[block] + 1e-6
+            for n in np.argsort(costs.mean(1), kind="stable").tolist():
+                c = used[n]
+                # a cell farther off than the worst of the best so far cannot hold a better one
+                qs = block[costs[n] <= np.minimum(bound, 2.00001 - 2 * floor[block])]
+                if not len(qs):
+                    continue
+                for lo in range(starts[c], ends[c], 4096):
+                    held = mine[lo : min(lo + 4096, ends[c])]
+                    s = u[held] @ u[qs].T
+                    better = np.nonzero(s.max(0) > floor[qs])[0]
+                    if not len(better):
                         continue
-                    for lo in range(starts[c], ends[c], 4096):
-                        held = mine[lo : min(lo + 4096, ends[c])]
-                        s = u[held] @ u[qs].T
-                        if turn == "others":
-                            give(s, held, qs)
-                        elif len(better := np.nonzero(s.max(0) > floor[qs])[0]):
-                            take(qs[better], s[:, better].T.copy(), held)
+                    target = qs[better]
+                    new = s[:, better].T
+                    new[own[target][:, None] == own[held][None, :]] = -2.0
+                    both = np.concatenate([best[target], new], axis=1)
+                    top = np.argpartition(-both, width - 1, axis=1)[:, :width]
+                    values = np.take_along_axis(both, top, 1)
+                    names = np.where(top < width, np.take_along_axis(who[target], np.minimum(top, width - 1), 1), held[np.maximum(top - width, 0)])
+                    best[target], who[target] = values, np.where(values > -2.0, names, -1)
+                    floor[target] = values.min(1)
         q, p = np.nonzero(who >= 0)
         o = who[q, p]
         a, b = x[q].astype(np.float64), x[o].astype(np.float64)
@@ -206,7 +165,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, *, k: int = 5, own:
     of another length are neither queries nor answers. Equal cosines are ordered by the smaller key. An empty table gives no rows.
 
     Every row is indexed and every row is a query. Each of ``tables`` hash tables routes a row as a member to one group of cells and as a query
-    to the groups it probes; there the candidates are compared in blocks. A second turn serves the other side: members that don't look at the cell of a query get it as a candidate. The best ``k`` and some spare ones of each group
+    to the groups it probes; there the candidates are compared in blocks, the best ``k`` and some spare ones of each group
     get their exact cosine in double precision, and the tables' and groups' candidates are merged by query. ``probes`` is the share of cells
     a query looks at, by default ``share_probed`` of the number of rows. The offsets of the hash functions come from at most
     ``SAMPLE_ROWS`` rows. Of more than ``COPIES`` rows with one and the same vector, the further ones are left out of the index: their nearest
@@ -222,7 +181,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, *, k: int = 5, own:
     found = None
     for n in range(tables):
         plan = Plan(dim, rows, sample, (share_probed(rows, dim) if probes is None else probes) / tables, seed + n)
-        routed = kept.select("key", "own", "vec").mapInArrow(_route(plan, dim), "grp int, chunk int, key long, own long, member boolean, asks boolean, reach float, vec array<float>")
+        routed = kept.select("key", "own", "vec").mapInArrow(_route(plan, dim), "grp int, chunk int, key long, own long, member boolean, reach float, vec array<float>")
         part = routed.groupBy("grp", "chunk").applyInArrow(_search(plan, dim, k, 3), "key long, own long, other long, other_own long, cosine double")
         found = part if found is None else found.unionByName(part)
     if tables > 1:
