@@ -58,7 +58,7 @@ class Plan:
 
 def share_probed(rows: int, dim: int) -> float:
     """The share of the cells that a query probes: all of them up to 2,000 rows, less as the nearest lie nearer, and less in fewer dimensions, but never under ``LEAST_PROBED`` times the square of dim / 32."""
-    return min(1.0, max(LEAST_PROBED * (dim / 32) ** 2, (max(rows, 1) / 2000) ** (-0.38 * (32 / dim) ** 0.3)))
+    return min(1.0, max(LEAST_PROBED * (dim / 32) ** 2, (max(rows, 1) / 2000) ** (-0.38 * (32 / dim) ** 0.5)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
