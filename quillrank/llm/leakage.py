@@ -70,7 +70,7 @@ def repetitions(width: int, edits: int, sampled: int, recall: float) -> int:
         return 1
     far = min(1.0, 2 * edits * edits / (2 * width) + edits / width)
     once = 0.5 * (1 - min(far, 0.95)) ** sampled
-    return min(64, max(1, math.ceil(math.log(1 - recall) / math.log(1 - once))))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
 class Index:
