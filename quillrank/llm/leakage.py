@@ -15,6 +15,7 @@ from .arrow import batch, mix64, ranges
 
 WORD = re.compile(r"[^\W_]+")
 ITEM_BLOCK = 4096
+WINDOW_BLOCK = 2048
 
 
 def words_of(text: str | None) -> list[str]:
@@ -50,18 +51,22 @@ class Walk:
 
 
 def edit_distance_at_most(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Whether the rows of two matrices of symbols lie within an edit distance of each other."""
+    """Whether the rows of two matrices of symbols lie within an edit distance of each other. The matrices may differ in width."""
     if most == 0:
-        return (a == b).all(1)
-    n, width = a.shape
-    row = np.tile(np.arange(width + 1), (n, 1))
-    for i in range(1, width + 1):
-        new = np.empty_like(row)
-        new[:, 0] = i
-        for j in range(1, width + 1):
-            new[:, j] = np.minimum(np.minimum(row[:, j] + 1, new[:, j - 1] + 1), row[:, j - 1] + (a[:, i - 1] != b[:, j - 1]))
+        return (a == b).all(1) if a.shape[1] == b.shape[1] else np.zeros(len(a), bool)
+    n, far = len(a), a.shape[1] + b.shape[1]
+    if abs(a.shape[1] - b.shape[1]) > most:
+        return np.zeros(n, bool)
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    row = {j: np.full(n, j, np.int8) for j in range(min(most, len(b)) + 1)}
+    beyond = np.full(n, far, np.int8)
+    for i in range(1, len(a) + 1):  # only cells that lie within ``most`` of the diagonal can count
+        new = {0: np.full(n, i, np.int8)} if i <= most else {}
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            cell = np.minimum(row.get(j, beyond), new.get(j - 1, beyond)) + np.int8(1)
+            new[j] = np.minimum(cell, row.get(j - 1, beyond) + (a[i - 1] != b[j - 1]))
         row = new
-    return row[:, width] <= most
+    return row[len(b)] <= most
 
 
 def repetitions(width: int, edits: int, sampled: int, recall: float) -> int:
@@ -97,7 +102,18 @@ class Index:
             self.tables.append((walk, keys[order], order))
 
     def matches(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a given window and an item within the edit distance."""
+        """Pairs of a given window and an item within the edit distance. The windows may be narrower or wider than the items', as words were left out or put in."""
+        if not len(windows):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        distinct, copy = np.unique(windows, axis=0, return_inverse=True)
+        parts = [self._matches(distinct[lo : lo + WINDOW_BLOCK]) for lo in range(0, len(distinct), WINDOW_BLOCK)]
+        mine, item = np.concatenate([m + n * WINDOW_BLOCK for n, (m, _) in enumerate(parts)]), np.concatenate([i for _, i in parts])
+        order = np.argsort(mine, kind="stable")
+        mine, item = mine[order], item[order]
+        hit, at = ranges(np.searchsorted(mine, copy.reshape(-1), "left"), np.searchsorted(mine, copy.reshape(-1), "right"))
+        return hit, item[at]
+
+    def _matches(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pairs = []
         for walk, keys, order in self.tables:
             own = walk.keys(windows)
@@ -113,10 +129,11 @@ class Index:
 def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, *, width: int = 12, edits: int = 0, sampled: int = 6, recall: float = 0.95) -> DataFrame:
     """``id, item_id, windows, first_word``: every row of the corpus that holds ``width`` consecutive words of an item, with at most ``edits`` word edits.
 
-    ``windows`` is the number of the text's windows that match, ``first_word`` the position of the first. What stands
+    A word put in, left out or replaced is one edit, so that windows of ``width`` - ``edits`` to ``width`` + ``edits`` words are compared with the
+    items' windows of ``width``. ``windows`` is the number of words of the text at which a matching window begins, ``first_word`` the position of the first. What stands
     between words doesn't matter. All windows of all texts are embedded, hashed and looked up; the only ones left out beforehand hold more than ``edits`` words that no
     item has, which is more than the allowed distance. With ``edits`` = 0 nothing is lost; else the number of walks
-    follows from ``recall``. Items shorter than ``width`` words and NULL or empty texts match nothing. A
+    follows from ``recall`` and ``sampled``. Items shorter than ``width`` words and NULL or empty texts match nothing. A
     key that comes twice gives a row for each of its texts.
 
     Items are taken in blocks of ``ITEM_BLOCK``, so that what is broadcast is bounded whatever their number.
@@ -138,12 +155,12 @@ def _scan(corpus: DataFrame, key: str, text: str, index: Index) -> DataFrame:
 
     def scan(batches):
         held = shared.value
-        width, code = held.width, held.code
+        narrow, wide, code = max(1, held.width - held.edits), held.width + held.edits, held.code
         for b in batches:
             codes, doc, start = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 c = [code.get(w, 0) for w in words_of(t)]
-                if len(c) >= width:
+                if len(c) >= narrow:
                     codes.extend(c)
                     doc.append(np.full(len(c), i, np.int64))
                     start.append(np.arange(len(c)))
@@ -151,15 +168,16 @@ def _scan(corpus: DataFrame, key: str, text: str, index: Index) -> DataFrame:
                 continue
             c, d, s = np.array(codes, np.int32), np.concatenate(doc), np.concatenate(start)
             unknown = np.concatenate([[0], np.cumsum(c == 0)])
-            first = np.arange(len(c) - width + 1)
-            good = (unknown[first + width] - unknown[first] <= held.edits) & (d[first] == d[first + width - 1])
-            first = first[good]
-            if not len(first):
+            found = []
+            for width in range(narrow, min(wide, len(c)) + 1):
+                first = np.arange(len(c) - width + 1)
+                good = (unknown[first + width] - unknown[first] <= held.edits) & (d[first] == d[first + width - 1])
+                first = first[good]
+                mine, item = held.matches(np.lib.stride_tricks.sliding_window_view(c, width)[first])
+                found.append((first[mine], item))
+            at, item = (np.concatenate(x) for x in zip(*found))
+            if not len(at):
                 continue
-            mine, item = held.matches(np.lib.stride_tricks.sliding_window_view(c, width)[first])
-            if not len(mine):
-                continue
-            at = first[mine]
             seen = pd.DataFrame({"row": d[at], "item": item, "at": s[at]}).drop_duplicates()
             got = seen.groupby(["row", "item"], sort=True)["at"].agg(["size", "min"]).reset_index()
             yield batch(schema, b.column(0).take(pa.array(got["row"].to_numpy())), got["item"].to_numpy(), got["size"].to_numpy(), got["min"].to_numpy())

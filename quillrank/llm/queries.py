@@ -259,7 +259,7 @@ def p9_found(spark, folder):
 
 @query("p9_near")
 def p9_near(spark, folder):
-    found = leakage.find_leaks(read_table(spark, folder, "documents"), "doc_id", "text", read_table(spark, folder, "eval_items"), "item_id", "text", width=12, edits=1)
+    found = leakage.find_leaks(read_table(spark, folder, "documents"), "doc_id", "text", read_table(spark, folder, "eval_items"), "item_id", "text", width=12, edits=2, sampled=3)
     return found.select(F.col("id").alias("doc_id"), "item_id", "windows", "first_word")
 
 

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillrank.llm import bktree, clustering, components, distinctiveness, leakage, near_duplicates, neighbours, packing, ranking, splitting, subjects, term_frequency
+from quillrank.llm import bktree, clustering, components, distinctiveness, leakage, near_duplicates, neighbours, packing, queries, ranking, splitting, subjects, term_frequency
 
 RNG = np.random.default_rng(4)
 
@@ -439,6 +439,35 @@ def test_edit_verification_and_recall():
     assert len({(m, i) for m, i in zip(mine.tolist(), item.tolist()) if i == index.owner[m]}) >= 0.9 * 300
 
 
+@pytest.mark.parametrize("edits, sampled", [(1, 6), (2, 3)])
+def test_near_leaks_with_words_put_in_left_out_or_replaced(spark, edits, sampled):
+    rng = random.Random(edits)
+    items = [(i, [f"k{rng.randrange(900)}" for _ in range(12)]) for i in range(60)]
+    documents, kinds = [], list(itertools.combinations_with_replacement(["put in", "left out", "replaced"], edits))
+    for n, (kind, (i, words)) in enumerate(itertools.product(kinds, items)):
+        held = list(words)
+        for k in kind:
+            at = rng.randrange(1, len(held) - 1)
+            held[at : at + (k != "put in")] = [] if k == "left out" else ["foreign"]
+        documents.append((n, i, kind, " ".join(held if n % 2 else ["before", "it", *held, "after", "it"])))
+    documents.append((-1, 0, None, " ".join([*items[0][1][:4], "a", "b", "c", *items[0][1][4:]])))
+    items = [(i, " ".join(words)) for i, words in items]
+    frame = spark.createDataFrame([(n, text) for n, _, _, text in documents], "doc_id long, text string")
+    got = leakage.find_leaks(frame, "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", edits=edits, sampled=sampled).collect()
+    found = {(r.id, r.item_id) for r in got}
+    assert len(got) == len(found) and found <= {(n, i) for n, i, kind, _ in documents if kind}
+    for kind in kinds:
+        assert sum((n, i) in found for n, i, k, _ in documents if k == kind) >= 0.95 * 60
+
+
+def test_near_leaks_are_queried_with_two_edits(spark, tmp_path):
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(words), " ".join(words[:5] + words[6:]), " ".join([*words[:4], "x", *words[4:8], "y", *words[8:]]), " ".join(words[:9])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(words))], "item_id int, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    assert {(r.doc_id, r.item_id) for r in queries.QUERIES["p9_near"](spark, str(tmp_path)).collect()} == {(0, 7), (1, 7), (2, 7)}
+
+
 # ---- 10: subjects
 
 WORDS = {s: [f"{s}{c}" for c in "abcdefghijkl"] for s in ("law", "food", "sport")}
