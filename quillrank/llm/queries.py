@@ -148,7 +148,7 @@ def p5_found(spark, folder):
     parts = []
     for name in (HYBRID, LATE):
         scored = distinctiveness.distinctive_terms(current(spark, folder, name, "body_tsv"), "id", "body_tsv", min_tf=3, max_df=5)
-        parts.append(scored.where("elite > 0.5").select(F.lit(name).alias("table_name"), "id", "term"))
+        parts.append(scored.select(F.lit(name).alias("table_name"), "id", "term"))
     return parts[0].unionByName(parts[1])
 
 

@@ -1,4 +1,5 @@
 import collections
+import datetime
 import itertools
 import math
 import random
@@ -278,6 +279,15 @@ def test_distinctive_terms(spark):
     assert distinctiveness.distinctive_terms(df.limit(0), "id", "body").count() == 0
 
 
+def test_found_terms_beside_a_record_that_repeats_them(spark, tmp_path):
+    lists = [["beacon"] * 3, ["beacon"] * 60, ["beacon"] * 2] + [["the", f"r{i}"] for i in range(997)]
+    rows = [(i, x, datetime.datetime(2026, 1, 1)) for i, x in enumerate(lists)]
+    for name in (queries.HYBRID, queries.LATE):
+        spark.createDataFrame(rows, "id long, body_tsv array<string>, ingested_at timestamp").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = [tuple(r) for r in queries.QUERIES["p5_found"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((name, i, "beacon") for name in (queries.HYBRID, queries.LATE) for i in (0, 1))
+
+
 # ---- 6: nearest neighbours
 
 
