@@ -168,12 +168,15 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, *, k: int = 5, own:
     to the groups it probes; there the candidates are compared in blocks, the best ``k`` and some spare ones of each group
     get their exact cosine in double precision, and the tables' and groups' candidates are merged by query. ``probes`` is the share of cells
     a query looks at, by default ``share_probed`` of the number of rows. The offsets of the hash functions come from at most
-    ``SAMPLE_ROWS`` rows. Of more than ``COPIES`` rows with one and the same vector, the further ones are left out of the index: their nearest
-    are the first copies, which they get by a join.
+    ``SAMPLE_ROWS`` rows. Of the rows with one and the same vector, the first ``k`` of each ``own`` are indexed, and of these the first ``COPIES`` (at least
+    2 ``k``), so that the first ``k`` copies of other owns are always among them. The further rows get, by a join, what the indexed row of their vector and own
+    has found, or the first ``k`` copies where there is none, as all copies indexed are then of other owns.
     """
     own = own or key
     base = df.selectExpr(f"cast(`{key}` as long) as key", f"cast(`{own}` as long) as own", f"cast(`{vector}` as array<float>) as vec").where(f"key is not null and size(vec) = {dim} and {USABLE}")
-    kept = base.withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("key"))).where(F.col("nth") <= COPIES)
+    copies = max(COPIES, 2 * k)
+    kept = base.withColumn("nth_own", F.row_number().over(Window.partitionBy("vec", "own").orderBy("key"))).where(F.col("nth_own") <= k)
+    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("key"))).where(F.col("nth") <= copies)
     kept = stage_table(kept, "vectors")  # in the same order at every reading, which the routing relies on
     rows = kept.count()
     usable, sample = matrix(pa.array([list(r.vec) for r in kept.where(F.pmod(F.xxhash64("key"), F.lit(max(1, rows // SAMPLE_ROWS))) == 0).limit(SAMPLE_ROWS).collect()], pa.list_(pa.float32())), dim)
@@ -188,13 +191,18 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, *, k: int = 5, own:
         found = found.dropDuplicates(["key", "other"])
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "other", "cosine", "rank")
-    return best if kept.where(F.col("nth") == COPIES).isEmpty() else best.unionByName(_excess(kept, base, k))
-
-
-def _excess(kept: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """The nearest of the rows beyond the first ``COPIES`` of a vector: the first copies that are no fellows of themselves."""
-    first = kept.groupBy("vec").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("key", "own"))).alias("copies")).where(F.col("n") >= COPIES)
-    joined = base.join(first, "vec").where(F.col("key") > F.element_at("copies", -1)["key"])
-    picked = joined.select("key", F.posexplode(F.slice(F.filter("copies", lambda c: c["own"] != F.col("own")), 1, k)).alias("at", "c"))
-    return picked.select("key", F.col("c.key").alias("other"), F.lit(1.0).alias("cosine"), (F.col("at") + 1).alias("rank"))
-
+    if kept.where((F.col("nth_own") == k) | (F.col("nth") == copies)).isEmpty():
+        return best
+    best = stage_table(best, "nearest")
+    return best.unionByName(_excess(kept, base, best, k, copies))
+
+
+def _excess(kept: DataFrame, base: DataFrame, best: DataFrame, k: int, copies: int) -> DataFrame:
+    """The nearest of the rows that are not indexed: those of the indexed row of the same vector and own, else the first copies, which are all of other owns."""
+    full = F.max("nth_own") >= k
+    first = kept.groupBy("vec").agg((full | (F.max("nth") >= copies)).alias("full"), F.sort_array(F.collect_list(F.struct("key", "own"))).alias("copies")).where("full")
+    further = base.join(first, "vec").where(~F.exists("copies", lambda c: c["key"] == F.col("key")))
+    further = further.select("key", "copies", F.get(F.filter("copies", lambda c: c["own"] == F.col("own")), F.lit(0))["key"].alias("like"))
+    same = further.where("like is not null").select(F.col("key").alias("further"), F.col("like").alias("key")).join(best, "key").select(F.col("further").alias("key"), "other", "cosine", "rank")
+    picked = further.where("like is null").select("key", F.posexplode(F.slice("copies", 1, k)).alias("at", "c"))
+    return same.unionByName(picked.select("key", F.col("c.key").alias("other"), F.lit(1.0).alias("cosine"), (F.col("at") + 1).alias("rank")))

@@ -335,6 +335,23 @@ def test_nearest_with_many_copies(spark):
     assert neighbours.nearest(spark.createDataFrame([], "key long, v array<float>"), "key", "v", 4).count() == 0
 
 
+@pytest.mark.parametrize("foreign", [0, 2, 9])
+def test_nearest_with_many_copies_of_one_own(spark, foreign):
+    n = neighbours.COPIES + 8
+    x = np.concatenate([np.ones((n + foreign, 8)), unit(30, 8)]).astype(np.float32)
+    own = np.concatenate([np.zeros(n), 1 + np.arange(foreign) // 2, 100 + np.arange(30)]).astype(int)
+    got = collections.defaultdict(list)
+    rows = [(i, int(o), v.tolist()) for i, (o, v) in enumerate(zip(own, x))]
+    for r in neighbours.nearest(spark.createDataFrame(rows, "key long, doc long, v array<float>"), "key", "v", 8, own="doc").orderBy("key", "rank").collect():
+        got[r.key].append(r.other)
+    expected = brute(x.astype(float), own, 5)
+    copies = {i: sum(own[j] != own[i] for j in range(n + foreign)) for i in range(n + foreign)}
+    for i in range(n + foreign):
+        equal = [j for j in got[i] if j < n + foreign]
+        assert len(got[i]) == 5 and len(equal) == min(5, copies[i]) and all(own[j] != own[i] for j in got[i])
+        assert set(got[i]) - set(equal) == set(expected[i]) - set(range(n + foreign))
+
+
 # ---- 7: clusters
 
 
