@@ -11,54 +11,84 @@ from pyspark.sql import functions as F
 
 from quillrank.sources import stage_table
 
-from .arrow import batch, lists_of, matrix, mix64
+from .arrow import batch, lists_of, matrix
 
-COPIES = 32
-MOST_HASHES, CELL_ROWS, GROUP_ROWS, QUERY_ROWS, QUERY_BLOCK, SAMPLE_ROWS = 12, 48, 60_000, 250_000, 8192, 20_000
+GROUP_ROWS, LEAST_GROUP_ROWS, FEW_GROUPS, CELL_ROWS, MOST_LOW_BITS = 250_000, 12_500, 3, 12, 11
+SAMPLE_ROWS, SAMPLE_CELLS, BLOCK_CELLS = 20_000, 1024, 1 << 23
 
-#: Below this share of the cells, recall among vectors without any structure falls under 0.9. A caller with structured data can pass less.
-LEAST_PROBED = 0.12
+#: Below this share of the cells a table, recall among vectors without any structure falls under 0.9. A caller with structured data can pass less.
+LEAST_PROBED = 0.06
 #: A vector without NULL, NaN and infinite elements that is not all zero.
 USABLE = "exists(vec, x -> x != 0) and not exists(vec, x -> x is null or isnan(x) or abs(x) = float('infinity'))"
 
 
 class Plan:
-    """The hash functions of one table, and which cells a query probes.
+    """One hash table: its functions, which groups of cells a vector is sent to, and which cells there it probes.
 
     Each of ``hashes`` p-stable functions is floor((a.x + b) / w) with orthonormal Gaussian directions a, offsets b that put a
     boundary on the middle of a bounded sample, and a width w beyond the reach of a unit vector, so that each splits the space
-    in two. A cell is one combination of them. The squared gaps to the boundaries that lie between a query and a cell sum to a lower
-    bound of its squared distance; cells are probed in that order.
+    in two. A cell is one combination of them, a group the cells that agree in the first ``group_bits``. The squared gaps to the
+    boundaries that lie between a query and a cell sum to a lower bound of its squared distance; the smaller it is, the likelier the cell holds a near vector.
     """
 
-    def __init__(self, dim: int, rows: int, sample: np.ndarray, probes: float, seed: int):
-        self.hashes = int(min(MOST_HASHES, dim, max(3, round(math.log2(max(rows, 1) / CELL_ROWS)))))
-        self.chunks = max(1, math.ceil(rows / QUERY_ROWS))
-        self.group_bits = min(self.hashes, max(0, math.ceil(math.log2(max(rows / GROUP_ROWS, 1)))))
+    def __init__(self, dim: int, rows: int, sample: np.ndarray, group_bits: int, visits: int, share: float, seed: int):
+        self.group_bits = min(group_bits, dim)
+        self.low = min(dim - self.group_bits, MOST_LOW_BITS, max(0, round(math.log2(max(rows / (CELL_ROWS << self.group_bits), 1)))))
+        self.hashes, self.groups = self.group_bits + self.low, 1 << self.group_bits
+        self.visits, self.share = min(visits, self.groups), share
         rng = np.random.default_rng(seed)
         self.directions = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : self.hashes].astype(np.float32)
         self.offsets = np.median(sample @ self.directions, axis=0).astype(np.float32) if len(sample) else np.zeros(self.hashes, np.float32)
-        self.cells = 1 << self.hashes
-        self.probed = max(1, min(self.cells, math.ceil(probes * self.cells)))
-        self.bits = ((np.arange(self.cells)[:, None] >> np.arange(self.hashes)[None, ::-1]) & 1).astype(np.float32)
-
-    def gaps(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.directions - self.offsets
-
-    def cell(self, gaps: np.ndarray) -> np.ndarray:
-        return ((gaps > 0) @ (1 << np.arange(self.hashes)[::-1])).astype(np.int64)
-
-    def costs(self, gaps: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """The lower bound of the squared distance from each query to each cell."""
+        cells = 1 << self.hashes
+        self.sampled = np.arange(cells) if cells <= SAMPLE_CELLS else rng.choice(cells, SAMPLE_CELLS, replace=False)
+
+    def gaps(self, unit: np.ndarray) -> np.ndarray:
+        return unit @ self.directions - self.offsets
+
+    @staticmethod
+    def number(gaps: np.ndarray) -> np.ndarray:
+        """The cell of each row, or its group, from all or from the first gaps."""
+        return ((gaps > 0) @ (1 << np.arange(gaps.shape[1])[::-1])).astype(np.int64)
+
+    @staticmethod
+    def costs(gaps: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The lower bound of the squared distance from each row to each cell."""
+        width = gaps.shape[1]
+        bits = ((cells[:, None] >> np.arange(width)[None, ::-1]) & 1).astype(np.float32)
         squared = gaps * gaps
-        to_one = np.where(gaps > 0, 0, squared)
-        to_zero = np.where(gaps > 0, squared, 0)
+        to_one, to_zero = np.where(gaps > 0, 0, squared), np.where(gaps > 0, squared, 0)
         return to_zero.sum(1)[:, None] + (to_one - to_zero) @ bits.T
 
+    def visited(self, gaps: np.ndarray) -> np.ndarray:
+        """The likeliest groups of each row, its own first."""
+        near = self.costs(gaps[:, : self.group_bits], np.arange(self.groups))
+        near[np.arange(len(near)), self.number(gaps[:, : self.group_bits])] = -1
+        return np.argsort(near, axis=1, kind="stable")[:, : self.visits]
+
+    def reach(self, gaps: np.ndarray) -> np.ndarray:
+        """The bound up to which a row probes cells: the quantile ``share`` of its bounds to a sample of all cells."""
+        place = math.ceil(self.share * len(self.sampled)) - 1
+        if self.share >= 1:
+            return np.full(len(gaps), np.inf, np.float32)
+        return np.concatenate([np.partition(self.costs(gaps[a : a + 1024], self.sampled), max(place, 0), axis=1)[:, max(place, 0)] for a in range(0, len(gaps), 1024)]) + 1e-6
+
 
 def share_probed(rows: int, dim: int) -> float:
-    """The share of the cells that a query probes: all of them up to 2,000 rows, less as the nearest lie nearer, and less in fewer dimensions, but never under ``LEAST_PROBED`` times the square of dim / 32."""
-    return min(1.0, max(LEAST_PROBED * (dim / 32) ** 2, (max(rows, 1) / 2000) ** (-0.38 * (32 / dim) ** 0.5)))
+    """The share of the cells that a query probes in each table: all of them up to 2,000 rows, less as the nearest lie nearer, and less in fewer dimensions, but never under ``LEAST_PROBED`` times the square of dim / 32."""
+    return min(1.0, max(LEAST_PROBED * (dim / 32) ** 2, (max(rows, 1) / 2000) ** (-0.6 * (32 / dim) ** 0.5)))
+
+
+def layout(rows: int) -> tuple[int, int, int]:
+    """``group_bits, tables, visits`` for so many rows: what a vector is sent to is ``tables`` x ``visits`` groups, whatever the number of rows in them.
+
+    Groups hold ``LEAST_GROUP_ROWS`` rows or more; from eight groups on they grow to ``GROUP_ROWS``, and only then become more. Two groups of two tables are enough up to eight
+    groups, then two, three and four of four tables.
+    """
+    few = min(FEW_GROUPS, max(0, round(math.log2(max(rows / LEAST_GROUP_ROWS, 1)))))
+    bits = max(few, math.ceil(math.log2(max(rows / GROUP_ROWS, 1))))
+    if bits <= 1:
+        return bits, 1, 2
+    return bits, 2 if bits <= FEW_GROUPS else 4, 2 if bits <= 5 else 3 if bits == 6 else 4
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -66,142 +96,161 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _route(plan: Plan, dim: int):
-    """Each vector to the group of cells it lies in, as a member, and to every group it probes a cell of, as a query.
-
-    Queries go to one of ``plan.chunks`` copies of a group, members to all of them, so that neither outgrows a task. Rows that are members only have
-    a reach of -1.
-    """
-    schema = pa.schema([("grp", pa.int32()), ("chunk", pa.int32()), ("key", pa.int64()), ("own", pa.int64()), ("member", pa.bool_()), ("reach", pa.float32()), ("vec", pa.list_(pa.float32()))])
-    low = plan.hashes - plan.group_bits
+def _route(plans: list[Plan], dim: int):
+    """Each vector, in every table, to the group of cells it lies in, as a member, and to the next likely ones, as a visitor."""
+    schema = pa.schema([("grp", pa.int32()), ("key", pa.int64()), ("own", pa.int64()), ("member", pa.bool_()), ("vec", pa.list_(pa.float32()))])
 
     def route(batches):
         for whole in batches:
-            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+            for b in (whole.slice(i, 4000) for i in range(0, whole.num_rows, 4000)):
                 usable, x = matrix(b.column(2), dim)
                 if not len(x):
                     continue
                 keys, own = (b.column(k).to_numpy(zero_copy_only=False)[usable] for k in (0, 1))
-                gaps = plan.gaps(_unit(x))
-                costs = plan.costs(gaps, plan.bits)
-                reach = np.partition(costs, plan.probed - 1, axis=1)[:, plan.probed - 1] if plan.probed < plan.cells else np.full(len(x), 4.0, np.float32)
-                touched = costs.reshape(len(x), -1, 1 << low).min(2) <= reach[:, None]
-                home = plan.cell(gaps) >> low
-                touched[np.arange(len(x)), home] = True
-                row, grp = np.nonzero(touched)
-                chunk = (mix64(keys) % np.uint64(plan.chunks)).astype(np.int32)
-                yield batch(schema, grp, chunk[row], keys[row], own[row], grp == home[row], reach[row], lists_of(x[row]))
-                for c in range(plan.chunks if plan.chunks > 1 else 0):
-                    o = np.nonzero(chunk != c)[0]
-                    yield batch(schema, home[o], np.full(len(o), c), keys[o], own[o], np.ones(len(o), bool), np.full(len(o), -1.0), lists_of(x[o]))
+                unit = _unit(x)
+                for n, plan in enumerate(plans):
+                    visited = plan.visited(plan.gaps(unit))
+                    for v in range(visited.shape[1]):
+                        yield batch(schema, visited[:, v] + n * plan.groups, keys, own, np.full(len(x), v == 0), lists_of(x))
 
     return route
 
 
-def _search(plan: Plan, dim: int, k: int, spare: int):
-    """Within a group of cells: the best of every query that probes there."""
-    schema = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("other", pa.int64()), ("other_own", pa.int64()), ("cosine", pa.float64())])
-    low = plan.hashes - plan.group_bits
-    width = k + spare
+class _Best:
+    """The ``width`` best of each row so far: cosines, who, and the least of them."""
+
+    def __init__(self, rows: int, width: int):
+        self.width = width
+        self.value, self.who, self.floor = np.full((rows, width), -2.0, np.float32), np.full((rows, width), -1, np.int32), np.full(rows, -2.0, np.float32)
+
+    def offer(self, rows: np.ndarray, new: np.ndarray, names: np.ndarray) -> None:
+        """``new``: the cosine of each of ``rows`` to each of ``names``."""
+        both = np.concatenate([self.value[rows], new], axis=1)
+        top = np.argpartition(-both, self.width - 1, axis=1)[:, : self.width]
+        value = np.take_along_axis(both, top, 1)
+        known = np.take_along_axis(self.who[rows], np.minimum(top, self.width - 1), 1)
+        who = np.where(top < self.width, known, names[np.maximum(top - self.width, 0)])
+        self.value[rows], self.who[rows], self.floor[rows] = value, np.where(value > -2.0, who, -1), value.min(1)
+
+
+def _meet(u: np.ndarray, own: np.ndarray, qs: np.ndarray, held: np.ndarray, asked: _Best, told: _Best) -> None:
+    """Compare queries with the members of a cell: each may be among the best of the other."""
+    s = u[held] @ u[qs].T
+    better = np.nonzero(s.max(0) > asked.floor[qs])[0]
+    if len(better):
+        new = s[:, better].T
+        new[own[qs[better]][:, None] == own[held][None, :]] = -2.0
+        asked.offer(qs[better], new, held)
+    better = np.nonzero(s.max(1) > told.floor[held])[0]
+    if len(better):
+        new = s[better]
+        new[own[held[better]][:, None] == own[qs][None, :]] = -2.0
+        told.offer(held[better], new, qs)
+
+
+def _search(plans: list[Plan], dim: int, k: int):
+    """Within a group of cells: the best of every row that lies or visits there, from the cells it probes and from those that probe its own."""
+    schema = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64())])
+    width = 2 * k
 
     def search(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         x = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         keys, own = t.column("key").to_numpy(), t.column("own").to_numpy()
         member = t.column("member").to_numpy(zero_copy_only=False)
-        reach = t.column("reach").to_numpy()
-        grp = int(t.column("grp")[0].as_py())
+        plan = plans[int(t.column("grp")[0].as_py()) // plans[0].groups]
+        group = int(t.column("grp")[0].as_py()) % plan.groups
         u = _unit(x)
         gaps = plan.gaps(u)
-        cells = np.arange(1 << low) + (grp << low)
+        low = gaps[:, plan.group_bits :]
         mine = np.nonzero(member)[0]
-        at = plan.cell(gaps[mine])
+        at = plan.number(low[mine])
         order = np.argsort(at, kind="stable")
         mine, at = mine[order], at[order]
+        cells = np.unique(at)
         starts, ends = np.searchsorted(at, cells, "left"), np.searchsorted(at, cells, "right")
-        best = np.full((len(x), width), -2.0, np.float32)
-        who = np.full((len(x), width), -1, np.int64)
-        floor = np.full(len(x), -2.0, np.float32)
-        used = np.nonzero(ends > starts)[0]
-        asking = np.nonzero(reach >= 0)[0]
-        asking = asking[np.argsort(plan.cell(gaps[asking]), kind="stable")]
-        for block in (asking[a : a + QUERY_BLOCK] for a in range(0, len(asking), QUERY_BLOCK)):
-            costs = np.ascontiguousarray(plan.costs(gaps[block], plan.bits[cells[used]]).T)
-            bound = reach[block] + 1e-6
-            for n in np.argsort(costs.mean(1), kind="stable").tolist():
-                c = used[n]
-                # a cell farther off than the worst of the best so far cannot hold a better one
-                qs = block[costs[n] <= np.minimum(bound, 2.00001 - 2 * floor[block])]
-                if not len(qs):
-                    continue
-                for lo in range(starts[c], ends[c], 4096):
-                    held = mine[lo : min(lo + 4096, ends[c])]
-                    s = u[held] @ u[qs].T
-                    better = np.nonzero(s.max(0) > floor[qs])[0]
-                    if not len(better):
-                        continue
-                    target = qs[better]
-                    new = s[:, better].T
-                    new[own[target][:, None] == own[held][None, :]] = -2.0
-                    both = np.concatenate([best[target], new], axis=1)
-                    top = np.argpartition(-both, width - 1, axis=1)[:, :width]
-                    values = np.take_along_axis(both, top, 1)
-                    names = np.where(top < width, np.take_along_axis(who[target], np.minimum(top, width - 1), 1), held[np.maximum(top - width, 0)])
-                    best[target], who[target] = values, np.where(values > -2.0, names, -1)
-                    floor[target] = values.min(1)
-        q, p = np.nonzero(who >= 0)
-        o = who[q, p]
-        a, b = x[q].astype(np.float64), x[o].astype(np.float64)
-        cosine = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
-        return pa.Table.from_batches([batch(schema, keys[q], own[q], keys[o], own[o], cosine)])
+        reach = plan.reach(gaps)
+        asked, told = _Best(len(x), width), _Best(len(x), width)
+        rows = np.lexsort((plan.number(low), ~member))
+        step = max(512, BLOCK_CELLS // max(len(cells), 1))
+        for block in (rows[a : a + step] for a in range(0, len(rows), step)):
+            costs = np.ascontiguousarray(plan.costs(gaps[block], cells + (group << plan.low)).T)
+            turn = costs.mean(1).argsort(kind="stable").tolist()
+            done = np.float32(-1)
+            for part in (0.4, 1.0):  # every query's likeliest cells first, then the rest of those it probes
+                bound = reach[block] * part
+                for n in turn:
+                    # a cell farther off than the worst of the best so far cannot hold a better one
+                    qs = block[(costs[n] > done) & (costs[n] <= np.minimum(bound, 2.00001 - 2 * asked.floor[block]))]
+                    if len(qs):
+                        for a in range(starts[n], ends[n], 4096):
+                            _meet(u, own, qs, mine[a : min(a + 4096, ends[n])], asked, told)
+                done = bound
+        names = np.concatenate([asked.who, told.who], axis=1)
+        q, p = np.nonzero(names >= 0)
+        # a pair that both sides have probed stands there twice
+        pairs = np.unique(q * len(x) + names[q, p])
+        q, o = pairs // len(x), pairs % len(x)
+        cosine = np.empty(len(q))
+        for a in range(0, len(q), 1 << 18):
+            l, r = x[q[a : a + (1 << 18)]].astype(np.float64), x[o[a : a + (1 << 18)]].astype(np.float64)
+            cosine[a : a + (1 << 18)] = np.einsum("ij,ij->i", l, r) / np.sqrt(np.einsum("ij,ij->i", l, l) * np.einsum("ij,ij->i", r, r))
+        order = np.lexsort((keys[o], -cosine, q))
+        place = np.arange(len(order)) - np.searchsorted(q[order], q[order], "left")
+        first = order[place < k]
+        return pa.Table.from_batches([batch(schema, keys[q[first]], keys[o[first]], cosine[first])])
 
     return search
 
 
-def nearest(df: DataFrame, key: str, vector: str, dim: int, *, k: int = 5, own: str | None = None, probes: float | None = None, tables: int = 1, seed: int = 1) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, dim: int, *, k: int = 5, own: str | None = None, probes: float | None = None, seed: int = 1) -> DataFrame:
     """``key, other, cosine, rank``: the ``k`` nearest rows of every row by cosine.
 
     ``key`` is a unique long; rows with the same ``own`` (by default the key) are no fellows. NULL, zero, non-finite vectors and those
     of another length are neither queries nor answers. Equal cosines are ordered by the smaller key. An empty table gives no rows.
 
-    Every row is indexed and every row is a query. Each of ``tables`` hash tables routes a row as a member to one group of cells and as a query
-    to the groups it probes; there the candidates are compared in blocks, the best ``k`` and some spare ones of each group
-    get their exact cosine in double precision, and the tables' and groups' candidates are merged by query. ``probes`` is the share of cells
-    a query looks at, by default ``share_probed`` of the number of rows. The offsets of the hash functions come from at most
-    ``SAMPLE_ROWS`` rows. Of the rows with one and the same vector, the first ``k`` of each ``own`` are indexed, and of these the first ``COPIES`` (at least
-    2 ``k``), so that the first ``k`` copies of other owns are always among them. The further rows get, by a join, what the indexed row of their vector and own
+    Every row is indexed and every row is a query. Each hash table sends a row as a member to one group of cells and as a visitor to
+    the likeliest others (``layout``), so that a row moves a few times whatever the size of the table; nothing is copied to all groups. In a group, each row probes the cells in the order of
+    their bound up to ``probes`` of all (by default ``share_probed`` of the number of rows), in blocks; what it meets there may take it among its own best as well. The candidates
+    get their exact cosine in double precision, and the best ``k`` of all groups and tables are merged by row. The offsets of the hash functions come from at most
+    ``SAMPLE_ROWS`` rows. Of the rows with one and the same vector, the first ``k`` of each ``own`` are indexed, and of these the first 2 ``k``, so that
+    the first ``k`` copies of other owns are always among them. The further rows get, by a join, what the indexed row of their vector and own
     has found, or the first ``k`` copies where there is none, as all copies indexed are then of other owns.
     """
     own = own or key
-    base = df.selectExpr(f"cast(`{key}` as long) as key", f"cast(`{own}` as long) as own", f"cast(`{vector}` as array<float>) as vec").where(f"key is not null and size(vec) = {dim} and {USABLE}")
-    copies = max(COPIES, 2 * k)
-    kept = base.withColumn("nth_own", F.row_number().over(Window.partitionBy("vec", "own").orderBy("key"))).where(F.col("nth_own") <= k)
-    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("key"))).where(F.col("nth") <= copies)
-    kept = stage_table(kept, "vectors")  # in the same order at every reading, which the routing relies on
-    rows = kept.count()
-    usable, sample = matrix(pa.array([list(r.vec) for r in kept.where(F.pmod(F.xxhash64("key"), F.lit(max(1, rows // SAMPLE_ROWS))) == 0).limit(SAMPLE_ROWS).collect()], pa.list_(pa.float32())), dim)
+    picked = df.selectExpr(f"cast(`{key}` as long) as key", f"cast(`{own}` as long) as own", f"cast(`{vector}` as array<float>) as vec").where(f"key is not null and size(vec) = {dim} and {USABLE}")
+    base = stage_table(picked, "vectors")
+    rows = base.count()
+    many = base.groupBy(F.xxhash64("vec").alias("h")).count().where(F.col("count") > k).select("h")
+    many = stage_table(many, "many")
+    kept, hot = base, None
+    if not many.isEmpty():
+        hashed = base.withColumn("h", F.xxhash64("vec"))
+        rest = hashed.join(many, "h", "left_semi").drop("h")
+        hot = rest.withColumn("nth_own", F.row_number().over(Window.partitionBy("vec", "own").orderBy("key"))).where(F.col("nth_own") <= k)
+        hot = stage_table(hot.withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("key"))).where(F.col("nth") <= 2 * k), "copies")
+        kept = stage_table(hashed.join(many, "h", "left_anti").drop("h").unionByName(hot.select("key", "own", "vec")), "indexed")
+        rows = kept.count()
+    few = kept.where(F.pmod(F.xxhash64("key"), F.lit(max(1, rows // SAMPLE_ROWS))) == 0).select("vec").limit(SAMPLE_ROWS).toArrow().column("vec").combine_chunks()
+    sample = matrix(few, dim)[1]
     sample = _unit(sample) if len(sample) else sample
-    found = None
-    for n in range(tables):
-        plan = Plan(dim, rows, sample, (share_probed(rows, dim) if probes is None else probes) / tables, seed + n)
-        routed = kept.select("key", "own", "vec").mapInArrow(_route(plan, dim), "grp int, chunk int, key long, own long, member boolean, reach float, vec array<float>")
-        part = routed.groupBy("grp", "chunk").applyInArrow(_search(plan, dim, k, 3), "key long, own long, other long, other_own long, cosine double")
-        found = part if found is None else found.unionByName(part)
-    if tables > 1:
-        found = found.dropDuplicates(["key", "other"])
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "other", "cosine", "rank")
-    if kept.where((F.col("nth_own") == k) | (F.col("nth") == copies)).isEmpty():
+    bits, tables, visits = layout(rows)
+    share = share_probed(rows, dim) if probes is None else probes
+    plans = [Plan(dim, rows, sample, bits, visits, share, seed + n) for n in range(tables)]
+    routed = kept.select("key", "own", "vec").mapInArrow(_route(plans, dim), "grp int, key long, own long, member boolean, vec array<float>")
+    found = routed.groupBy("grp").applyInArrow(_search(plans, dim, k), "key long, other long, cosine double")
+    rank = F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))  # a pair that came from several groups has one rank
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k).dropDuplicates(["key", "rank"]).select("key", "other", "cosine", "rank")
+    if hot is None:
         return best
     best = stage_table(best, "nearest")
-    return best.unionByName(_excess(kept, base, best, k, copies))
+    return best.unionByName(_excess(hot, base.withColumn("h", F.xxhash64("vec")).join(many, "h", "left_semi").drop("h"), best, k))
 
 
-def _excess(kept: DataFrame, base: DataFrame, best: DataFrame, k: int, copies: int) -> DataFrame:
+def _excess(hot: DataFrame, rest: DataFrame, best: DataFrame, k: int) -> DataFrame:
     """The nearest of the rows that are not indexed: those of the indexed row of the same vector and own, else the first copies, which are all of other owns."""
-    full = F.max("nth_own") >= k
-    first = kept.groupBy("vec").agg((full | (F.max("nth") >= copies)).alias("full"), F.sort_array(F.collect_list(F.struct("key", "own"))).alias("copies")).where("full")
-    further = base.join(first, "vec").where(~F.exists("copies", lambda c: c["key"] == F.col("key")))
+    first = hot.groupBy("vec").agg(F.sort_array(F.collect_list(F.struct("key", "own"))).alias("copies"))  # 2 k at most
+    further = rest.join(first, "vec").where(~F.exists("copies", lambda c: c["key"] == F.col("key")))
     further = further.select("key", "copies", F.get(F.filter("copies", lambda c: c["own"] == F.col("own")), F.lit(0))["key"].alias("like"))
     same = further.where("like is not null").select(F.col("key").alias("further"), F.col("like").alias("key")).join(best, "key").select(F.col("further").alias("key"), "other", "cosine", "rank")
     picked = further.where("like is null").select("key", F.posexplode(F.slice("copies", 1, k)).alias("at", "c"))

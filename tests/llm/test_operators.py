@@ -6,11 +6,13 @@ import random
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillrank.llm import bktree, clustering, components, distinctiveness, leakage, near_duplicates, neighbours, packing, queries, ranking, splitting, subjects, term_frequency
+from quillrank.llm.arrow import lists_of
 
 RNG = np.random.default_rng(4)
 
@@ -310,23 +312,51 @@ def test_nearest_exact_while_small(spark):
     assert set(got[150][:2]) == {152, 153}
 
 
-@pytest.mark.parametrize("tables", [1, 2])
-def test_nearest_recall_and_split_groups(spark, monkeypatch, tables):
-    monkeypatch.setattr(neighbours, "GROUP_ROWS", 500)
-    monkeypatch.setattr(neighbours, "QUERY_ROWS", 1500)
+@pytest.mark.parametrize("least,groups", [(1500, 250_000), (300, 250_000), (100, 100)])
+def test_nearest_recall_and_split_groups(spark, monkeypatch, least, groups):
+    monkeypatch.setattr(neighbours, "LEAST_GROUP_ROWS", least)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", groups)
     rng = np.random.default_rng(6)
     x = (np.repeat(unit(40, 16, rng), 75, 0) + rng.normal(size=(3000, 16)) * 0.12).astype(np.float32)
-    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, v array<float>"), "key", "v", 16, probes=0.3, tables=tables).collect()
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, v array<float>"), "key", "v", 16, probes=0.3).collect()
     found = collections.defaultdict(set)
     for r in got:
         found[r.key].add(r.other)
     expected = brute(x.astype(float), np.arange(3000), 5)
-    assert len(got) == sum(map(len, found.values()))
+    assert len(got) == sum(map(len, found.values())) and {(r.key, r.rank) for r in got} == {(i, n) for i in range(3000) for n in range(1, 6)}
     assert sum(len(found[i] & set(expected[i])) for i in expected) >= 0.9 * 5 * 3000
 
 
+def routed_per_vector(rows, dim):
+    """What one vector is sent to, by the routing alone."""
+    bits, tables, visits = neighbours.layout(rows)
+    x = unit(500, dim, np.random.default_rng(3)).astype(np.float32)
+    plans = [neighbours.Plan(dim, rows, x, bits, visits, 0.06, n) for n in range(tables)]
+    table = pa.RecordBatch.from_arrays([pa.array(np.arange(500)), pa.array(np.arange(500)), lists_of(x)], names=["key", "own", "vec"])
+    return sum(b.num_rows for b in neighbours._route(plans, dim)([table])) / 500, rows / (1 << bits)
+
+
+def test_nearest_moves_a_vector_a_few_times_at_any_size():
+    moved = {n: routed_per_vector(n, 32) for n in (100_000, 1_000_000, 2_000_000, 8_000_000, 64_000_000)}
+    assert [r for r, _ in moved.values()] == [4, 4, 4, 8, 16] and all(held <= neighbours.GROUP_ROWS for _, held in moved.values())
+
+
+def test_nearest_of_two_passages_with_many_equal_vectors(spark):
+    """Forty copies in each of two passages: every one finds copies of the other passage."""
+    x = np.concatenate([np.tile(unit(1, 8), (80, 1)), unit(60, 8)]).astype(np.float32)
+    own = np.concatenate([np.repeat([0, 1], 40), 2 + np.arange(60)])
+    rows = [(1000 * int(o) + i, int(o), v.tolist()) for i, (o, v) in enumerate(zip(own, x))]
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "key long, doc long, v array<float>"), "key", "v", 8, own="doc").orderBy("key", "rank").collect():
+        got[r.key].append((r.other, r.cosine))
+    keys = {0: [r[0] for r in rows[:40]], 1: [r[0] for r in rows[40:80]]}
+    for mine, other in ((0, 1), (1, 0)):
+        for key in keys[mine]:
+            assert [o for o, _ in got[key]] == sorted(keys[other])[:5] and all(c > 0.999999 for _, c in got[key])
+
+
 def test_nearest_with_many_copies(spark):
-    n = neighbours.COPIES + 20
+    n = 52
     x = np.concatenate([np.ones((n, 4)), unit(10, 4)])
     got = collections.defaultdict(list)
     for r in neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, v array<float>"), "key", "v", 4).orderBy("key", "rank").collect():
@@ -337,7 +367,7 @@ def test_nearest_with_many_copies(spark):
 
 @pytest.mark.parametrize("foreign", [0, 2, 9])
 def test_nearest_with_many_copies_of_one_own(spark, foreign):
-    n = neighbours.COPIES + 8
+    n = 40
     x = np.concatenate([np.ones((n + foreign, 8)), unit(30, 8)]).astype(np.float32)
     own = np.concatenate([np.zeros(n), 1 + np.arange(foreign) // 2, 100 + np.arange(30)]).astype(int)
     got = collections.defaultdict(list)
