@@ -13,7 +13,7 @@ from quillrank.sources import stage_table
 
 from .arrow import batch, lists_of, matrix
 
-GROUP_ROWS, LEAST_GROUP_ROWS, FEW_GROUPS, CELL_ROWS, MOST_LOW_BITS = 250_000, 12_500, 3, 12, 11
+GROUP_ROWS, LEAST_GROUP_ROWS, FEW_GROUPS, CELL_ROWS, MOST_LOW_BITS = 250_000, 12_500, 3, 48, 11
 SAMPLE_ROWS, SAMPLE_CELLS, BLOCK_CELLS = 20_000, 1024, 1 << 23
 
 #: Below this share of the cells a table, recall among vectors without any structure falls under 0.9. A caller with structured data can pass less.
@@ -75,7 +75,7 @@ class Plan:
 
 def share_probed(rows: int, dim: int) -> float:
     """The share of the cells that a query probes in each table: all of them up to 2,000 rows, less as the nearest lie nearer, and less in fewer dimensions, but never under ``LEAST_PROBED`` times the square of dim / 32."""
-    return min(1.0, max(LEAST_PROBED * (dim / 32) ** 2, (max(rows, 1) / 2000) ** (-0.6 * (32 / dim) ** 0.5)))
+    return min(1.0, max(LEAST_PROBED * (dim / 32) ** 2, (max(rows, 1) / 2000) ** (-0.64 * (32 / dim) ** 0.7)))
 
 
 def layout(rows: int) -> tuple[int, int, int]:
@@ -123,35 +123,52 @@ class _Best:
         self.width = width
         self.value, self.who, self.floor = np.full((rows, width), -2.0, np.float32), np.full((rows, width), -1, np.int32), np.full(rows, -2.0, np.float32)
 
-    def offer(self, rows: np.ndarray, new: np.ndarray, names: np.ndarray) -> None:
-        """``new``: the cosine of each of ``rows`` to each of ``names``."""
-        both = np.concatenate([self.value[rows], new], axis=1)
-        top = np.argpartition(-both, self.width - 1, axis=1)[:, : self.width]
-        value = np.take_along_axis(both, top, 1)
-        known = np.take_along_axis(self.who[rows], np.minimum(top, self.width - 1), 1)
-        who = np.where(top < self.width, known, names[np.maximum(top - self.width, 0)])
+    def offer(self, rows: np.ndarray, new: np.ndarray, names: np.ndarray, floor: np.ndarray) -> None:
+        """``new``: the cosine of each of ``rows`` to each of ``names``; what is not above ``floor`` doesn't count. A row with one better name swaps it for its worst, the others are sorted out together."""
+        width, hits = self.width, new > floor[:, None]
+        count = np.count_nonzero(hits, axis=1)
+        one = np.nonzero(count == 1)[0]
+        if len(one):
+            r, c = rows[one], hits[one].argmax(axis=1)
+            held = self.value[r]
+            at = held.argmin(axis=1)
+            held[np.arange(len(one)), at] = new[one, c]
+            self.value[r], self.who[r, at], self.floor[r] = held, names[c], held.min(axis=1)
+        more = np.nonzero(count > 1)[0]
+        if not len(more):
+            return
+        rows = rows[more]
+        both = np.concatenate([self.value[rows], new[more]], axis=1)
+        top = np.argpartition(both, both.shape[1] - width, axis=1)[:, -width:]
+        value = both.reshape(-1)[top + (np.arange(len(rows)) * both.shape[1])[:, None]]
+        known = self.who[rows].reshape(-1)[np.minimum(top, width - 1) + (np.arange(len(rows)) * width)[:, None]]
+        who = np.where(top < width, known, names[np.maximum(top - width, 0)])
         self.value[rows], self.who[rows], self.floor[rows] = value, np.where(value > -2.0, who, -1), value.min(1)
 
 
 def _meet(u: np.ndarray, own: np.ndarray, qs: np.ndarray, held: np.ndarray, asked: _Best, told: _Best) -> None:
     """Compare queries with the members of a cell: each may be among the best of the other."""
     s = u[held] @ u[qs].T
-    better = np.nonzero(s.max(0) > asked.floor[qs])[0]
+    floor = np.maximum(asked.floor[qs], told.floor[qs])
+    better = np.nonzero(s.max(0) > floor)[0]
     if len(better):
         new = s[:, better].T
         new[own[qs[better]][:, None] == own[held][None, :]] = -2.0
-        asked.offer(qs[better], new, held)
-    better = np.nonzero(s.max(1) > told.floor[held])[0]
+        asked.offer(qs[better], new, held, floor[better])
+    floor = np.maximum(asked.floor[held], told.floor[held])
+    better = np.nonzero(s.max(1) > floor)[0]
     if len(better):
-        new = s[better]
+        new, floor = s[better], floor[better]
+        worth = np.nonzero((new > floor[:, None]).any(0))[0]
+        new, qs = new[:, worth], qs[worth]
         new[own[held[better]][:, None] == own[qs][None, :]] = -2.0
-        told.offer(held[better], new, qs)
+        told.offer(held[better], new, qs, floor)
 
 
 def _search(plans: list[Plan], dim: int, k: int):
     """Within a group of cells: the best of every row that lies or visits there, from the cells it probes and from those that probe its own."""
     schema = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64())])
-    width = 2 * k
+    width = k + 2
 
     def search(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
