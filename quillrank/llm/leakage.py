@@ -78,6 +78,15 @@ def repetitions(width: int, edits: int, sampled: int, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
+def _run_keys(codes: np.ndarray, run: int) -> np.ndarray:
+    """The key of every ``run`` symbols in a row."""
+    n = len(codes) - run + 1
+    key = np.zeros(max(n, 0), np.uint64)
+    for i in range(run if n > 0 else 0):
+        key = mix64(key * np.uint64(31) + codes[i : i + n].astype(np.uint64) + np.uint64(1))
+    return key
+
+
 class Index:
     """The windows of up to ``ITEM_BLOCK`` items and their keys, small enough to be broadcast."""
 
@@ -92,6 +101,9 @@ class Index:
                 windows.append(view)
                 owner.append(np.full(len(view), i, np.int64))
         self.width, self.edits = width, edits
+        # ``edits`` edits leave at least one run of so many words of a window whole
+        self.run = max(1, math.ceil((width - edits) / (edits + 1)))
+        self.runs = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [_run_keys(v.reshape(-1), self.run) if v.size else v for v in (np.array([self.code[w] for w in ws], np.int32) for _, ws in texts if len(ws) >= width)]))
         self.windows = np.concatenate(windows) if windows else np.zeros((0, width), np.int32)
         self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         self.tables = []
@@ -132,7 +144,7 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
     A word put in, left out or replaced is one edit, so that windows of ``width`` - ``edits`` to ``width`` + ``edits`` words are compared with the
     items' windows of ``width``. ``windows`` is the number of words of the text at which a matching window begins, ``first_word`` the position of the first. What stands
     between words doesn't matter. All windows of all texts are embedded, hashed and looked up; the only ones left out beforehand hold more than ``edits`` words that no
-    item has, which is more than the allowed distance. With ``edits`` = 0 nothing is lost; else the number of walks
+    item has, or, with ``edits`` above 0, no run of ceil((``width`` - ``edits``) / (``edits`` + 1)) words that an item has: at least one such run stays whole under the allowed edits, so that neither loses a window. With ``edits`` = 0 nothing is lost; else the number of walks
     follows from ``recall`` and ``sampled``. Items shorter than ``width`` words and NULL or empty texts match nothing. A
     key that comes twice gives a row for each of its texts.
 
@@ -168,10 +180,15 @@ def _scan(corpus: DataFrame, key: str, text: str, index: Index) -> DataFrame:
                 continue
             c, d, s = np.array(codes, np.int32), np.concatenate(doc), np.concatenate(start)
             unknown = np.concatenate([[0], np.cumsum(c == 0)])
+            keys = _run_keys(c, held.run) if held.edits else np.zeros(0, np.uint64)
+            place = np.minimum(np.searchsorted(held.runs, keys), max(len(held.runs) - 1, 0))
+            whole = np.concatenate([[0], np.cumsum(held.runs[place] == keys) if len(held.runs) else np.zeros(len(keys), np.int64)])
             found = []
             for width in range(narrow, min(wide, len(c)) + 1):
                 first = np.arange(len(c) - width + 1)
                 good = (unknown[first + width] - unknown[first] <= held.edits) & (d[first] == d[first + width - 1])
+                if held.edits:
+                    good &= whole[first + width - held.run + 1] > whole[first]
                 first = first[good]
                 mine, item = held.matches(np.lib.stride_tricks.sliding_window_view(c, width)[first])
                 found.append((first[mine], item))
