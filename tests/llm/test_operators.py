@@ -404,6 +404,19 @@ def test_clusters_of_known_middles(spark):
     assert sum(r["size"] for r in summary.values()) == len(members) and all(1 <= len(r.typical) <= 5 for r in summary.values())
 
 
+def test_a_small_cluster_stands_out_among_many_unrelated_records(spark):
+    """Thirty members stay though more unrelated records than that lie just outside; evenly spread records make no cluster, whichever middle they are nearest to."""
+    rng = np.random.default_rng(3)
+    middles, others = unit(2, 16, rng), unit(60_000, 16, rng)
+    cosine = others @ middles[0]
+    assert ((cosine >= 0.55) & (cosine < 0.6)).sum() > 100
+    x = np.concatenate([middles[0] + rng.normal(size=(30, 16)) * 0.13, others[cosine < 0.6]])
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<float>")
+    counted = clustering.around(rows, 16, np.array([5, 6]), middles, inner=0.65, outer=0.6)
+    assert {r.cluster: r.core >= 29 for r in counted.collect()}[5]
+    assert [r.cluster for r in counted.where(clustering._apart(16, 0.65, 0.6, 5, 4)).collect()] == [5]
+
+
 def test_clusters_of_nothing(spark):
     found = clustering.cluster(spark.createDataFrame([], "id long, v array<float>"), "id", "v", 4)
     assert found.members.count() == 0 and clustering.match(found, [(1, [1.0, 0, 0, 0])]) == {}
