@@ -19,12 +19,37 @@ from .components import connected_components
 from .neighbours import USABLE
 
 SAMPLE_ROWS, SAMPLE_WORDS, COMMON_ROWS, BLOCK_ROWS, CHUNK_ROWS = 20_000, 1024, 300, 20_000, 50_000
+#: A shard of ``BLOCK_ROWS`` rows has so many in the sample that finds the large ones.
+SEEN_ROWS = 64
 LADDER, RATIO = 1024, 1.1
-TABLES, TABLE_BITS, CODE_BITS = 20, 16, 128
+TABLE_BITS, TABLE_ROWS, CODE_BITS, MISSED = 16, 1 << 20, 128, 2e-4
 _ROWS = "shard long, id long, reach float, c0 long, c1 long"
 _SCHEMA = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("reach", pa.float32()), ("c0", pa.int64()), ("c1", pa.int64())])
 
 
+def sampling_step(rows: int) -> int:
+    """One row in so many is looked at for large shards: more rows as the table grows, so that a shard of ``BLOCK_ROWS`` rows always shows."""
+    return max(1, min(BLOCK_ROWS // SEEN_ROWS, rows // SAMPLE_ROWS))
+
+
+def large_shards(sampled: DataFrame, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that hold over ``BLOCK_ROWS`` rows, judged by the shards of one row in ``step`` (column ``shard``), and into how many blocks each is split. There is at most one for ``BLOCK_ROWS`` rows sent to shards."""
+    got = sampled.groupBy("shard").count().where(F.col("count") * step > BLOCK_ROWS).orderBy("shard").toArrow()
+    return got.column("shard").to_numpy(), np.ceil(got.column("count").to_numpy() * step / BLOCK_ROWS).astype(np.int64)
+
+
+def in_blocks(rows: np.ndarray, shard: np.ndarray, ids: np.ndarray, hot: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and shard, large shards split into blocks by a hash of the id: every two blocks of a shard meet in a shard of their own, and so do the rows of each block."""
+    if not len(hot):
+        return rows, shard
+    at = np.minimum(np.searchsorted(hot, shard), len(hot) - 1)
+    n = np.where(hot[at] == shard, blocks[at], 1)
+    mine = (mix64(ids[rows]) % n.astype(np.uint64)).astype(np.int64)
+    again, other = ranges(np.zeros(len(rows), np.int64), n)
+    low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
+    return rows[again], np.where(n[again] > 1, mix64(shard[again].view(np.uint64) * np.uint64(5) + mix64(low * 1_000_003 + high + 1)).view(np.int64), shard[again])
+
+
 def code_pairs(rows: DataFrame) -> DataFrame:
     """Distinct pairs ``a, b`` of ids in one shard whose codes lie within the sum of their ``reach`` in Hamming distance, the smaller reach being at least 3/4 of the larger.
 
@@ -95,10 +120,9 @@ class _Router:
 
     In one order of all words, rarest first, two qualifying sets share one of their first p = size - ceil(share * size) + 1 words,
     and two of their first p + 1. A word that is not common has a shard of its own for the sets that have it among their first p; where the
-    first shared word is a common one, so is the second, and the two have a shard together. Shards that a sample shows to hold over ``BLOCK_ROWS`` rows
-    are split into blocks, and every two blocks meet in a shard of their own.
+    first shared word is a common one, so is the second, and the two have a shard together. Shards of over ``BLOCK_ROWS`` rows are split (``in_blocks``).
 
-    The sample (``SAMPLE_ROWS`` sets of up to ``SAMPLE_WORDS`` words) only orders the words and finds the large shards; any order keeps every pair.
+    The sample (``SAMPLE_ROWS`` sets of up to ``SAMPLE_WORDS`` words) only orders the words; any order keeps every pair.
     """
 
     def __init__(self, sample: pa.Array, step: int, share: float):
@@ -107,9 +131,6 @@ class _Router:
         several = self.counts > 1
         self.known, self.counts = self.known[several], self.counts[several]
         self.hot, self.blocks = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        shards, counts = np.unique(self.plain(sample)[1], return_counts=True)
-        large = counts * step > BLOCK_ROWS
-        self.hot, self.blocks = shards[large], np.ceil(counts[large] * step / BLOCK_ROWS).astype(np.int64)
 
     def plain(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Row number and shard, before large shards are split."""
@@ -132,16 +153,17 @@ class _Router:
         return rows, np.concatenate([mixed[order[single]], mix64(a * np.uint64(3) + b)]).view(np.int64)
 
     def shards(self, lists: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, shard = self.plain(lists)
-        if not len(self.hot):
-            return rows, shard
-        at = np.minimum(np.searchsorted(self.hot, shard), len(self.hot) - 1)
-        blocks = np.where(self.hot[at] == shard, self.blocks[at], 1)
-        mine = (mix64(ids[rows]) % blocks.astype(np.uint64)).astype(np.int64)
-        again, other = ranges(np.zeros(len(rows), np.int64), blocks)
-        low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
-        split = blocks[again] > 1
-        return rows[again], np.where(split, (shard[again].view(np.uint64) + mix64(low * 1_000_003 + high + 1)).view(np.int64), shard[again])
+        return in_blocks(*self.plain(lists), ids, self.hot, self.blocks)
+
+
+def _shards_of(df: DataFrame, name, step: int) -> DataFrame:
+    """``shard`` of one row of ``df`` (``id`` and content) in ``step``, by ``name``: an array of contents to their shards."""
+
+    def shards(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(name(b.column(1)))], names=["shard"])
+
+    return df.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(step)) == 0).mapInArrow(shards, "shard long")
 
 
 def text_pairs(sets: DataFrame, *, share: float = 0.75) -> DataFrame:
@@ -152,9 +174,12 @@ def text_pairs(sets: DataFrame, *, share: float = 0.75) -> DataFrame:
     """
     if not 0.75 <= share <= 1:
         raise ValueError("share must be from 0.75 to 1")
-    step = max(1, sets.count() // SAMPLE_ROWS)
+    rows = sets.count()
+    step = max(1, rows // SAMPLE_ROWS)
     sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select(F.slice("words", 1, SAMPLE_WORDS).alias("words")).limit(2 * SAMPLE_ROWS).toArrow().column("words").combine_chunks()
     router, part = _Router(sample, step, share), (1 - share) / (1 + share)
+    looked = sampling_step(rows)
+    router.hot, router.blocks = large_shards(_shards_of(sets.select("id", "words"), lambda lists: router.plain(lists)[1], looked), looked)
     shared = sets.sparkSession.sparkContext.broadcast(router)
 
     def route(batches):
@@ -183,24 +208,34 @@ def vector_pairs(vectors: DataFrame, dim: int, *, cosine: float = 0.98, seed: in
     """``a, b`` of every two ids of ``id, vec`` whose vectors have at least that cosine, in double precision. Ids must be unique, vectors usable.
 
     Code: the sides of 128 random hyperplanes. At the threshold, each bit differs with probability angle / pi; the radius lies five standard
-    deviations above the mean. Shards: ``TABLES`` tables of ``TABLE_BITS`` further hyperplanes each; a pair at cosine 0.98 shares a
-    shard with probability 0.9998, closer ones with more.
+    deviations above the mean. Shards: tables of further hyperplanes, ``TABLE_BITS`` each and one more whenever the rows double beyond ``TABLE_ROWS``; there are as many tables as
+    let a pair at the threshold share a shard with a probability of 1 - ``MISSED``, closer ones with more. Large shards, as of a dense cluster, are split (``in_blocks``).
     """
     flip = math.acos(cosine) / math.pi
     reach = math.floor(CODE_BITS * flip + 5 * math.sqrt(CODE_BITS * flip * (1 - flip))) / 2
-    planes = np.random.default_rng(seed).normal(size=(dim, CODE_BITS + TABLES * TABLE_BITS)).astype(np.float32)
+    rows = vectors.count()
+    bits = min(40, TABLE_BITS + max(0, math.ceil(math.log2(max(rows, 1) / TABLE_ROWS))))
+    tables = math.ceil(math.log(MISSED) / math.log(1 - (1 - flip) ** bits))
+    planes = np.random.default_rng(seed).normal(size=(dim, CODE_BITS + tables * bits)).astype(np.float32)
+
+    def sides(x: np.ndarray) -> np.ndarray:
+        return (x / np.abs(x).max(axis=1, keepdims=True)) @ planes > 0
+
+    def named(side: np.ndarray) -> np.ndarray:
+        return (side[:, CODE_BITS:].reshape(len(side), tables, bits) @ (1 << np.arange(bits)) + (np.arange(tables)[None, :] << bits)).reshape(-1)
+
+    looked = sampling_step(rows)
+    hot, blocks = large_shards(_shards_of(vectors.select("id", "vec"), lambda lists: named(sides(matrix(lists, dim)[1])), looked), looked)
 
     def route(batches):
         for whole in batches:
             for b in (whole.slice(i, 4000) for i in range(0, whole.num_rows, 4000)):
                 usable, x = matrix(b.column(1), dim)
                 ids = b.column(0).to_numpy(zero_copy_only=False)[usable]
-                side = (x / np.abs(x).max(axis=1, keepdims=True)) @ planes > 0
+                side = sides(x)
                 codes = np.packbits(side[:, :CODE_BITS], axis=1).view(np.int64)
-                bits = side[:, CODE_BITS:].reshape(len(x), TABLES, TABLE_BITS) @ (1 << np.arange(TABLE_BITS))
-                shard = bits + np.arange(TABLES)[None, :] * (1 << TABLE_BITS)
-                again = np.repeat(np.arange(len(x)), TABLES)
-                yield batch(_SCHEMA, shard.reshape(-1), ids[again], np.full(len(again), reach, np.float32), codes[again, 0], codes[again, 1])
+                again, shard = in_blocks(np.repeat(np.arange(len(x)), tables), named(side), ids, hot, blocks)
+                yield batch(_SCHEMA, shard, ids[again], np.full(len(again), reach, np.float32), codes[again, 0], codes[again, 1])
 
     candidates = code_pairs(vectors.select("id", "vec").mapInArrow(route, _ROWS))
     joined = candidates.join(vectors.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(vectors.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")

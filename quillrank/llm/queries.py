@@ -213,12 +213,12 @@ def _clusters(spark, folder):
 
 @query("p7_found")
 def p7_found(spark, folder):
-    samples = read_table(spark, folder, "cluster_exemplars").limit(10_000).collect()  # one for each expected cluster
+    samples = read_table(spark, folder, "cluster_exemplars")
     both = None
-    for name, found in _clusters(spark, folder):
-        held = [(r.exemplar_id, [sum(c) / len(r.vectors) for c in zip(*r.vectors)]) for r in samples if r.table_name == name and r.vectors]
-        wanted = spark.createDataFrame(list(clustering.match(found, held).items()) or [], "exemplar_id int, cluster long")
-        part = found.members.join(F.broadcast(wanted), "cluster").select("exemplar_id", "id")
+    for (name, found), dim in zip(_clusters(spark, folder), (32, 16)):
+        held = samples.where(F.col("table_name") == name).select(F.col("exemplar_id").cast("long").alias("id"), _mean_vector("vectors", dim).alias("vec")).where("vec is not null")
+        wanted = clustering.match(found, held, dim).select(F.col("id").cast("int").alias("exemplar_id"), "cluster")
+        part = found.members.join(wanted, "cluster").select("exemplar_id", "id")
         both = part if both is None else both.unionByName(part)
     return both
 
@@ -267,7 +267,7 @@ def p9_near(spark, folder):
 
 
 def _subjects(spark, folder):
-    names = [r.subject for r in read_table(spark, folder, "subjects").orderBy("subject").limit(1000).collect() if r.subject]
+    names = [r.subject for r in read_table(spark, folder, "subjects").orderBy("subject").collect() if r.subject]  # one classifier each
     documents = read_table(spark, folder, "documents")
     chain = subjects.train(documents, "doc_id", "text", "source", read_table(spark, folder, "subject_labels"), "doc_id", "subject", names)
     return documents, subjects.assign_subjects(documents, "doc_id", "text", "source", chain)

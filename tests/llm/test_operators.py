@@ -159,6 +159,23 @@ def test_near_vectors_against_brute_force(spark):
     assert {tuple(r) for r in found.pairs().collect()} == {(i, j) for i, j in itertools.combinations(range(len(y)), 2) if s[i, j] >= 0.98}
 
 
+def test_near_vectors_of_a_dense_cluster_in_split_shards(spark, monkeypatch):
+    """A cluster fills whole shards; they are split, and no pair is lost."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(near_duplicates, "SEEN_ROWS", 64)
+    rng = np.random.default_rng(21)
+    x = np.concatenate([unit(1, 32, rng) + rng.normal(size=(400, 32)) * 0.04, unit(100, 32, rng)]).astype(np.float32)
+    split = []
+    whole = near_duplicates.large_shards
+    monkeypatch.setattr(near_duplicates, "large_shards", lambda *a: split.append(whole(*a)) or split[-1])
+    got = {(r.a, r.b) for r in near_duplicates.vector_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>"), 32).collect()}
+    y = x.astype(float)
+    s = y @ y.T / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None]
+    expected = {(i, j) for i, j in zip(*np.nonzero(s >= 0.98)) if i < j}
+    assert len(split[0][0]) and split[0][1].max() > 1
+    assert got <= expected and len(got) >= 0.998 * len(expected) > 50
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, body string, e array<float>")
     assert near_duplicates.near_texts(empty, "id", "body").pairs().count() == 0
@@ -166,6 +183,13 @@ def test_near_duplicates_of_nothing(spark):
     assert near_duplicates.near_vectors(empty, "id", "e", 4).pairs().count() == 0
 
 
+def test_components_of_a_long_path_come_to_rest_or_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {r.component for r in components.connected_components(path, "a", "b").collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components.connected_components(path, "a", "b", most=2)
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(5, 5), (None, 3)]
@@ -398,7 +422,8 @@ def test_clusters_of_known_middles(spark):
         name, n = names.most_common(1)[0]
         assert name is not None and n >= 0.9 * size
     assert sum(i in members for i in range(4 * size, len(x))) <= 5
-    matched = clustering.match(found, [(c, m.tolist()) for c, m in enumerate(middles)] + [(9, (-middles[0]).tolist()), (10, [0.0] * 32)])
+    samples = spark.createDataFrame([(c, m.tolist()) for c, m in enumerate(middles)] + [(9, (-middles[0]).tolist()), (10, [0.0] * 32)], "id long, vec array<float>")
+    matched = {r.id: r.cluster for r in clustering.match(found, samples, 32).collect()}
     assert set(matched) == {0, 1, 2, 3} and len(set(matched.values())) == 4
     summary = {r.cluster: r for r in found.summary().collect()}
     assert sum(r["size"] for r in summary.values()) == len(members) and all(1 <= len(r.typical) <= 5 for r in summary.values())
@@ -419,7 +444,7 @@ def test_a_small_cluster_stands_out_among_many_unrelated_records(spark):
 
 def test_clusters_of_nothing(spark):
     found = clustering.cluster(spark.createDataFrame([], "id long, v array<float>"), "id", "v", 4)
-    assert found.members.count() == 0 and clustering.match(found, [(1, [1.0, 0, 0, 0])]) == {}
+    assert found.members.count() == 0 and clustering.match(found, spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "id long, vec array<float>"), 4).count() == 0
 
 
 def test_agreements_are_those_of_the_jaccard():
