@@ -227,31 +227,56 @@ def max_abs(mv: Column, dim: int) -> Column:
     return _by_dimension(mv, dim, lambda x: F.array_max(F.transform(x, lambda v: F.struct(F.abs(v).alias("size"), v.alias("value"))))["value"])
 
 
+def centroid_mean(mv: Column) -> Column:
+    """The mean of the centroids (``centroid_count`` of them, by ``pool``) of a multivector."""
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series) -> pd.Series:
+        def one(m):
+            if m is None or len(m) == 0:
+                return None
+            x = np.stack([np.asarray(v, np.float64) for v in m])
+            return pool(x, centroid_count(len(x)), 4).mean(axis=0).tolist()
+
+        return values.map(one)
+
+    return run(mv)
+
+
 def centroid_count(n: int) -> int:
     """How many centroids a document of ``n`` vectors gets."""
     return n if n <= 4 else max(4, min(64, math.ceil(math.sqrt(n))))
 
 
 def pool(vectors: np.ndarray, target: int, rounds: int) -> np.ndarray:
-    """``target`` unit centroids: seeds farthest first from vector 0, then rounds of assigning each vector to the centroid of largest inner product."""
+    """The vectors as they are where there are no more than ``target``; else ``target`` centroids of them.
+
+    Seeds are taken farthest first by cosine from vector 0 on; in each round a vector goes to the centroid of largest inner product, and each centroid becomes the
+    unit mean of its vectors, or its seed again where it has none.
+    """
     x = np.asarray(vectors, np.float64)
-    chosen, closest = [0], x @ x[0]
-    while len(chosen) < min(target, len(x)):
-        chosen.append(int(np.argmin(np.where(np.isin(np.arange(len(x)), chosen), np.inf, closest))))
-        closest = np.maximum(closest, x @ x[chosen[-1]])
-    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
-    centres = unit(x[chosen])
+    if len(x) <= max(target, 1):
+        return x
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.where(length > 0, length, 1)
+    seeds = [0]
+    nearest = unit @ unit[0]
+    for _ in range(target - 1):
+        nearest[seeds[-1]] = np.inf
+        seeds.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[seeds[-1]])
+    centres = x[seeds].copy()
     for _ in range(rounds):
-        owner = (x @ centres.T).argmax(axis=1)
-        for c in range(len(centres)):
-            if (owner == c).any():
-                centres[c] = x[owner == c].mean(axis=0)
-        centres = unit(centres)
+        member = np.eye(target)[(x @ centres.T).argmax(axis=1)]
+        held = member.sum(axis=0)
+        mean = member.T @ x / np.maximum(held, 1)[:, None]
+        size = np.linalg.norm(mean, axis=1, keepdims=True)
+        centres = np.where(held[:, None] > 0, mean / np.where(size > 0, size, 1), x[seeds])
     return centres
 
 
-def pooled(ratio: float, method: str = "kmeans"):
-    """A pandas UDF that pools a multivector to ceil(n * ratio) vectors; ``kmeans`` takes 4 rounds, ``greedy_cosine`` one."""
+def pooled(ratio: float, method: str = "kmeans", *, least: int = 2):
+    """A pandas UDF that pools a multivector to ceil(n * ratio) vectors; ``kmeans`` takes 4 rounds, ``greedy_cosine`` one. Multivectors of under ``least`` vectors stay as they are, and so do all with a ratio of 1."""
     if not 0 < ratio <= 1 or method not in ("kmeans", "greedy_cosine"):
         raise ValueError("ratio must be above 0 and at most 1, method kmeans or greedy_cosine")
     rounds = 4 if method == "kmeans" else 1
@@ -262,7 +287,7 @@ def pooled(ratio: float, method: str = "kmeans"):
             if m is None or len(m) == 0:
                 return None
             x = np.stack([np.asarray(v, np.float64) for v in m])
-            return pool(x, math.ceil(len(x) * ratio), rounds).astype(np.float32).tolist()
+            return pool(x, math.ceil(len(x) * ratio) if len(x) >= least else len(x), rounds).astype(np.float32).tolist()
 
         return mv.map(one)
 

@@ -14,7 +14,7 @@ from quillrank.functions import analyzer, multivector, vectors
 from .corpus import Corpus
 
 K1, B = 1.2, 0.75
-DENSE_BATCH = 4096
+DENSE_BATCH = LEXICAL_BATCH = LATE_BATCH = 4096
 
 
 def top(df: DataFrame, order: Sequence[Column], k: int, rank: str, by: str | None = None) -> DataFrame:
@@ -83,6 +83,10 @@ def dense_batch(corpus: Corpus, queries: Sequence[tuple[int, Sequence[float]]],
 
 def statistics(corpus: Corpus, terms: Sequence[str]) -> DataFrame:
     """One row: the number of lexical documents ``n``, their mean length ``avgdl``, and the document frequency ``df_i`` of each term."""
+    if corpus.index is not None:
+        held = corpus.index.lexicon.where(F.col("term").isin(list(terms)))
+        found = held.agg(*[F.coalesce(F.max(F.when(F.col("term") == w, F.col("df"))), F.lit(0)).alias(f"df_{i}") for i, w in enumerate(terms)], F.count("*").alias("__known"))
+        return found.select(F.lit(corpus.index.docs).alias("n"), F.lit(corpus.index.mean_length).alias("avgdl"), *[f"df_{i}" for i in range(len(terms))])
     t = F.col(corpus.tokens)
     docs = corpus.rows.where(t.isNotNull())
     found = [F.sum(F.array_contains(t, w).cast("long")).alias(f"df_{i}") for i, w in enumerate(terms)]
@@ -100,9 +104,12 @@ def _saturated(idf: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
 def lexical(corpus: Corpus, tree, k: int, where: Column | None = None, *, strict_not: bool = False) -> DataFrame:
     """The k best rows that match, by BM25 of the positive terms. Statistics are those of the whole corpus, whatever ``where`` leaves.
 
-    A row's term counts come from its own token list, so nothing is exploded or shuffled: one pass for the statistics, one for the scores.
+    With a stored index, the postings of the query's terms are read and summed by row, and the rows themselves only where ``where`` asks for it. Without one, a row's term counts come
+    from its own token list, so that nothing is exploded or shuffled: one pass for the statistics, one for the scores.
     """
     terms = analyzer.positive_terms(tree)
+    if corpus.index is not None:
+        return _score(corpus, terms, _postings_of(corpus, tree, terms, where, strict_not), k)
     t = F.col(corpus.tokens)
     rows = (corpus.rows if where is None else corpus.rows.where(where)).where(t.isNotNull())
     at = {w: i for i, w in enumerate(terms)}
@@ -110,6 +117,26 @@ def lexical(corpus: Corpus, tree, k: int, where: Column | None = None, *, strict
         rows = rows.where(F.arrays_overlap(t, F.array(*map(F.lit, terms))))
     matched = rows.where(analyzer.condition(tree, lambda w: F.array_contains(t, w), strict_not=strict_not))
     matched = matched.select(F.col(corpus.id).alias("id"), F.size(t).alias("dl"), *[_occurrences(t, w).alias(f"tf_{i}") for w, i in at.items()])
+    return _score(corpus, terms, matched, k)
+
+
+def _postings_of(corpus: Corpus, tree, terms: Sequence[str], where: Column | None, strict_not: bool) -> DataFrame:
+    """``id, dl, tf_0, ...`` of the rows that match, from the postings of the terms in question alone."""
+    asked = list(terms)
+    if strict_not:
+        analyzer.condition(tree, lambda w: asked.append(w) or F.lit(True), strict_not=True)
+    at = {w: i for i, w in enumerate(dict.fromkeys(asked))}
+    counts = [F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"tf_{i}") for w, i in at.items()]
+    rows = corpus.index.postings.where(F.col("term").isin(list(at))).groupBy("id").agg(F.first("dl").alias("dl"), *counts)
+    if terms:
+        rows = rows.where(F.greatest(F.lit(0), F.lit(0), *[F.col(f"tf_{at[w]}") for w in terms]) > 0)
+    matched = rows.where(analyzer.condition(tree, lambda w: F.col(f"tf_{at[w]}") > 0, strict_not=strict_not))
+    if where is not None:
+        matched = matched.join(corpus.rows.where(where).select(F.col(corpus.id).alias("id")), "id", "left_semi")
+    return matched
+
+
+def _score(corpus: Corpus, terms: Sequence[str], matched: DataFrame, k: int) -> DataFrame:
     both = matched.join(F.broadcast(statistics(corpus, terms)))
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -123,34 +150,65 @@ def _occurrences(tokens: Column, word: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == F.lit(word)))
 
 
+def _blocks(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def lexical_batch(corpus: Corpus, queries: Sequence[tuple[int, object]], k: int) -> DataFrame:
-    """The k best rows of many queries that match any or all of their terms (``one``, ``any`` and ``all`` shapes): postings joined with the queries' terms, one aggregation by query and row."""
+    """The k best rows of many queries: postings joined with the queries' terms, one aggregation by query and row, in blocks of ``LEXICAL_BATCH`` queries. Nested boolean queries, which need more than a count of the terms hit, are searched one at a time beside them."""
+    nested = [(i, t) for i, t in queries if analyzer.shape(t) == "tree"]
+    flat = [(i, t) for i, t in queries if analyzer.shape(t) != "tree"]
+    parts = [_flat_batch(corpus, flat[a : a + LEXICAL_BATCH], k) for a in range(0, len(flat), LEXICAL_BATCH)]
+    parts += [lexical(corpus, t, k).withColumn("qid", F.lit(i).cast("long")).select("qid", "id", "bm25_score", "bm25_rank") for i, t in nested]
+    return _blocks(parts)
+
+
+def _flat_batch(corpus: Corpus, queries: Sequence[tuple[int, object]], k: int) -> DataFrame:
     spark = corpus.table.sparkSession
     wanted, needed = [], []
     for qid, tree in queries:
-        kind, terms = analyzer.shape(tree), analyzer.positive_terms(tree)
-        if kind == "tree":
-            raise ValueError("nested boolean queries are searched one at a time")
+        terms = analyzer.positive_terms(tree)
         wanted += [(qid, w) for w in terms]
-        needed.append((qid, len(terms) if kind == "all" else 1))
+        needed.append((qid, len(terms) if analyzer.shape(tree) == "all" else 1))
     asked = F.broadcast(spark.createDataFrame(wanted or [], "qid long, term string"))
     least = F.broadcast(spark.createDataFrame(needed, "qid long, needed int"))
-    postings = corpus.postings().join(F.broadcast(spark.createDataFrame(sorted({(w,) for _, w in wanted}), "term string")), "term")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    total = corpus.docstats().agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    some = F.broadcast(spark.createDataFrame(sorted({(w,) for _, w in wanted}), "term string"))
+    if corpus.index is not None:
+        postings, df = corpus.index.postings.join(some, "term"), corpus.index.lexicon.join(some, "term").select("term", "df")
+        total = spark.createDataFrame([(corpus.index.docs, corpus.index.mean_length)], "n long, avgdl double")
+    else:
+        postings = corpus.postings().join(some, "term")
+        df = postings.groupBy("term").agg(F.count("*").alias("df"))
+        total = corpus.docstats().agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
     scored = postings.join(F.broadcast(df), "term").join(F.broadcast(total)).select("id", "term", _saturated(_idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("s"))
     summed = scored.join(asked, "term").groupBy("qid", "id").agg(F.sum("s").alias("bm25_score"), F.count("*").alias("hits"))
     matched = summed.join(least, "qid").where("hits >= needed").select("qid", "id", "bm25_score")
-    return top(matched, [F.desc("bm25_score"), F.col("id")], k, "bm25_rank", by="qid")
+    return top(matched, [F.desc(F.round("bm25_score", 9)), F.col("id")], k, "bm25_rank", by="qid")  # sums of the same terms in another order are level
 
 
 def signals(corpus: Corpus, tree) -> dict[str, float]:
     """What the shape of a query is judged by: its number of terms, largest and mean idf, least document frequency, and whether a term looks like an identifier."""
     terms = analyzer.positive_terms(tree)
     row = statistics(corpus, terms).first()
-    dfs = [row[f"df_{i}"] or 0 for i in range(len(terms))]
-    idfs = [float(np.log(1 + (row["n"] - d + 0.5) / (d + 0.5))) for d in dfs]
-    return {"n": row["n"], "terms": len(terms), "max_idf": max(idfs, default=0.0), "mean_idf": sum(idfs) / max(len(idfs), 1), "min_df": min(dfs, default=0), "identifier": any(map(analyzer.is_identifier, terms))}
+    return _signals(terms, row["n"], [row[f"df_{i}"] or 0 for i in range(len(terms))])
+
+
+def signals_batch(corpus: Corpus, trees: Sequence[object]) -> list[dict[str, float]]:
+    """The signals of many queries, with one look at the lexicon for every ``LEXICAL_BATCH`` of their terms."""
+    each = [analyzer.positive_terms(t) for t in trees]
+    words = sorted({w for ts in each for w in ts})
+    lexicon, known, n = corpus.index.lexicon if corpus.index else corpus.lexicon(), {}, corpus.index.docs if corpus.index else corpus.docstats().count()
+    for a in range(0, len(words), LEXICAL_BATCH):
+        known |= {r.term: r.df for r in lexicon.where(F.col("term").isin(words[a : a + LEXICAL_BATCH])).select("term", "df").collect()}
+    return [_signals(ts, n, [known.get(w, 0) for w in ts]) for ts in each]
+
+
+def _signals(terms: Sequence[str], n: int, dfs: list[int]) -> dict[str, float]:
+    idfs = [float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for d in dfs]
+    return {"n": n, "terms": len(terms), "max_idf": max(idfs, default=0.0), "mean_idf": sum(idfs) / max(len(idfs), 1), "min_df": min(dfs, default=0), "identifier": any(map(analyzer.is_identifier, terms))}
 
 
 # ---- late interaction
@@ -168,6 +226,35 @@ def late(corpus: Corpus, query, weights: Sequence[float], k: int, where: Column
     return ranked.withColumn("late_sim", F.col("maxsim") / total if total else F.lit(0.0))
 
 
+def late_batch(corpus: Corpus, queries: Sequence[tuple[int, object, Sequence[float]]], k: int) -> DataFrame:
+    """The k best rows of many multivector queries (number, multivector, token weights) by exact MaxSim, in blocks of products; each task keeps the best k it has seen for each query."""
+    if len(queries) > LATE_BATCH:
+        return _blocks([late_batch(corpus, queries[a : a + LATE_BATCH], k) for a in range(0, len(queries), LATE_BATCH)])
+    names = np.array([i for i, _, _ in queries], np.int64)
+    tokens = np.array([v for _, q, _ in queries for v in q.values], np.float64)
+    weight = np.array([x for _, _, w in queries for x in w], np.float64)
+    first = np.cumsum([0] + [len(q.values) for _, q, _ in queries[:-1]])
+    total = np.add.reduceat(weight, first)
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("maxsim", pa.float64()), ("late_sim", pa.float64())])
+
+    def search(batches):
+        best_s, best_i = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+        for whole in batches:
+            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                x = b.column(1).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, tokens.shape[1])
+                near = np.maximum.reduceat(tokens @ x.T, np.cumsum(sizes) - sizes, axis=1)
+                s = np.concatenate([best_s, np.add.reduceat(np.where(weight[:, None] != 0, near * weight[:, None], 0.0), first, axis=0)], axis=1)
+                i = np.concatenate([best_i, np.broadcast_to(b.column(0).to_numpy(zero_copy_only=False), (len(names), b.num_rows))], axis=1)
+                order = np.lexsort((i, -s), axis=1)[:, :k]
+                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        each = best_s / np.where(total == 0, 1, total)[:, None] * (total != 0)[:, None]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_s.shape[1])), pa.array(best_i.reshape(-1)), pa.array(best_s.reshape(-1)), pa.array(each.reshape(-1))], schema=schema)
+
+    found = corpus.rows.selectExpr(f"cast(`{corpus.id}` as long)", f"cast(`{corpus.multivector}` as array<array<double>>)").mapInArrow(search, "qid long, id long, maxsim double, late_sim double")
+    return top(found, [F.desc("maxsim"), F.col("id")], k, "late_rank", by="qid")
+
+
 def late_by_proxy(corpus: Corpus, query, k: int, admitted: int, encode=None) -> DataFrame:
     """Two stages: the ``admitted`` rows whose encoded vector (by default the normalised mean) has the largest inner product with the query's, then exact MaxSim of those."""
     encode = encode or multivector.normalised_mean

@@ -12,12 +12,23 @@ from quillrank.functions import vectors
 from quillrank.sources import stage_table
 
 
+@dataclass(frozen=True)
+class LexicalIndex:
+    """The stored inverted index of a corpus: ``postings`` (``id, term, tf, dl``, in files by term and sorted by it), ``lexicon`` (``term, df, cf``), the number of lexical documents and their mean length."""
+
+    postings: DataFrame
+    lexicon: DataFrame
+    docs: int
+    mean_length: float
+
+
 @dataclass(frozen=True)
 class Corpus:
     """A table with a unique ``id`` and any of a vector, a token-list and a multivector column (vector or multivector, not both).
 
     A row without its vector (or multivector) is in no branch; under cosine, neither is one whose vector is all zero. A row with NULL tokens is no
-    lexical document, one with an empty list counts as one of length 0. Further columns can be filtered on.
+    lexical document, one with an empty list counts as one of length 0. Further columns can be filtered on. With an ``index`` (``with_index``), lexical
+    searches read postings and never the token lists; a change of the rows drops it.
     """
 
     table: DataFrame
@@ -27,6 +38,7 @@ class Corpus:
     multivector: str | None = None
     metric: str = "cosine"
     deleted: DataFrame | None = None
+    index: LexicalIndex | None = None
 
     def __post_init__(self):
         if self.metric not in vectors.RANKING:
@@ -66,10 +78,17 @@ class Corpus:
 
     def lexicon(self) -> DataFrame:
         """``term, df, cf`` of every term."""
-        exploded = self.rows.select(F.explode(F.array_distinct(self.tokens)).alias("term"), F.col(self.tokens).alias("t"))
-        counted = exploded.groupBy("term").agg(F.count("*").alias("df"))
-        total = self.rows.select(F.explode(self.tokens).alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
-        return counted.join(total, "term")
+        counts = self.index.postings if self.index else self.postings()
+        return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+    def with_index(self, files: int = 16) -> Corpus:
+        """With its postings and lexicon written to the shared folder, in ``files`` files by term, so that a query's terms leave most of them unread."""
+        if not self.tokens:
+            raise ValueError("the corpus has no tokens")
+        postings = stage_table(self.postings().repartition(files, "term").sortWithinPartitions("term", "id"), "postings")
+        lexicon = stage_table(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "lexicon")
+        n, mean = self.docstats().agg(F.count("*"), F.sum("dl") / F.count("*")).first()
+        return replace(self, index=LexicalIndex(postings, lexicon, n, mean or 0.0))
 
     def write_postings(self, path: str, files: int = 16) -> None:
         """The postings as Parquet, sorted by term in files by term, so that a query's terms prune row groups."""
@@ -81,12 +100,12 @@ class Corpus:
         """With new rows; those whose id was deleted earlier count again."""
         deleted = self.deleted and self.deleted.join(rows.select(self.id).distinct(), self.id, "left_anti")
         old = self.table.join(self.deleted.select(self.id).distinct(), self.id, "left_anti") if self.deleted is not None else self.table
-        return replace(self, table=old.unionByName(rows.select(*self.table.columns)), deleted=deleted)
+        return replace(self, table=old.unionByName(rows.select(*self.table.columns)), deleted=deleted, index=None)
 
     def delete(self, ids: DataFrame) -> Corpus:
         """Without the rows of these ids, which stay in the table until it is compacted."""
         gone = ids.select(self.id)
-        return replace(self, deleted=gone if self.deleted is None else self.deleted.select(self.id).unionByName(gone))
+        return replace(self, deleted=gone if self.deleted is None else self.deleted.select(self.id).unionByName(gone), index=None)
 
     def update(self, rows: DataFrame) -> Corpus:
         """A delete and an insert."""

@@ -56,22 +56,48 @@ def search(corpus: Corpus, query: HybridQuery, limit: int | None = None, where:
         merged = merged.join(distance, "id", "left").withColumn("dense_rank", F.coalesce("dense_rank", (ahead + 1).cast("int")))
         merged = merged.withColumn("dense_dist", F.coalesce("dense_dist", "__d")).withColumn("dense_sim", -F.col("dense_dist")).drop("__d")
     alpha = query.alpha
-    if alpha is None and query.fusion == "calibrated":
-        alpha = fusion.SHAPE_ALPHA[fusion.shape(branches.signals(corpus, query.text))] if query.text is not None else 0.5
+    if _by_shape(query):
+        alpha = fusion.SHAPE_ALPHA[fusion.shape(branches.signals(corpus, query.text))]
     scored = fusion.fused_score(merged, query.fusion, dense_weight=query.dense_weight, bm25_weight=query.bm25_weight, late_weight=query.multivector_weight, alpha=alpha, rrf_k=query.rrf_k, robust=robust)
     return branches.top(scored, fusion.order(), query.size(limit), "rank").select(*COLUMNS)
 
 
+def _by_shape(query: HybridQuery) -> bool:
+    """Whether the dense share follows from the shape of the text: only where there is a text and something to weigh it against; else the default holds."""
+    return query.fusion == "calibrated" and query.alpha is None and query.text is not None and (query.vector is not None or query.multivector is not None)
+
+
 def search_batch(corpus: Corpus, queries: Sequence[tuple[int, HybridQuery]], limit: int | None = None) -> DataFrame:
-    """``qid`` and the columns of a search for many queries of dense and flat boolean branches that share fusion, weights and budgets: one plan for all of them."""
-    first = queries[0][1]
+    """``qid`` and the columns of a search for many queries, each with its own branches and options, as if searched by itself.
+
+    Queries that share fusion, weights, budgets and filters have one plan, with one reading for each branch and block of queries. Query numbers must be unique.
+    """
     for _, q in queries:
         bind(corpus, q)
-    dense_k, bm25_k, _ = first.budgets(limit)
-    lists = []
-    if dense_k:
-        lists.append(branches.dense_batch(corpus, [(i, q.vector) for i, q in queries if q.vector is not None], dense_k))
-    if bm25_k:
-        lists.append(branches.lexical_batch(corpus, [(i, q.text) for i, q in queries if q.text is not None], bm25_k))
-    scored = fusion.fused_score(fusion.merge(lists), first.fusion, dense_weight=first.dense_weight, bm25_weight=first.bm25_weight, alpha=first.alpha, rrf_k=first.rrf_k)
-    return branches.top(scored, fusion.order(), first.size(limit), "rank", by="qid").select("qid", *COLUMNS)
+    shaped = [(i, q) for i, q in queries if _by_shape(q)]
+    alphas = {i: fusion.SHAPE_ALPHA[fusion.shape(s)] for (i, _), s in zip(shaped, branches.signals_batch(corpus, [q.text for _, q in shaped]))} if shaped else {}
+    alike: dict[tuple, list[tuple[int, HybridQuery]]] = {}
+    for i, q in queries:
+        options = (q.fusion, q.dense_weight, q.bm25_weight, q.multivector_weight, alphas.get(i, q.alpha), q.rrf_k, q.require_bm25_match, q.size(limit), q.budgets(limit))
+        alike.setdefault(options, []).append((i, q))
+    out = None
+    for (name, dense_weight, bm25_weight, late_weight, alpha, rrf_k, must_match, size, (dense_k, bm25_k, late_k)), some in alike.items():
+        lists = []
+        if dense_k:
+            lists.append(branches.dense_batch(corpus, [(i, q.vector) for i, q in some], dense_k))
+        if bm25_k:
+            lists.append(branches.lexical_batch(corpus, [(i, q.text) for i, q in some], bm25_k))
+        if late_k:
+            lists.append(branches.late_batch(corpus, [(i, q.multivector, q.weights()) for i, q in some], late_k))
+        if not lists:
+            continue
+        merged = fusion.merge(lists)
+        if must_match:
+            merged = merged.where(F.col("bm25_rank").isNotNull())
+        scored = fusion.fused_score(merged, name, dense_weight=dense_weight, bm25_weight=bm25_weight, late_weight=late_weight, alpha=alpha, rrf_k=rrf_k)
+        part = branches.top(scored, fusion.order(), size, "rank", by="qid").select(F.col("qid").cast("long").alias("qid"), *COLUMNS)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        empty = corpus.rows.select(F.lit(0).cast("long").alias("qid"), F.col(corpus.id).alias("id")).limit(0)
+        return fusion.merge([empty]).withColumn("fused", F.lit(0.0)).withColumn("rank", F.lit(0)).select("qid", *COLUMNS)
+    return out

@@ -19,6 +19,17 @@ TOKENS = 8
 # ---- corpora
 
 
+_BUILT: dict[tuple, Corpus] = {}
+
+
+def _indexed(spark, folder, make) -> Corpus:
+    """The corpus with its lexical index, built once for a session and folder, as an index is created once and searched often."""
+    key = (spark.sparkContext.applicationId, folder, make.__name__)
+    if key not in _BUILT:
+        _BUILT[key] = make(spark, folder).with_index()
+    return _BUILT[key]
+
+
 def hybrid(spark, folder, metric: str = "cosine") -> Corpus:
     """Documents with the embedding of the same number; label and language can be filtered on."""
     docs = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), analyzer.tokens(F.col("text")).alias("tokens"), "lang")
@@ -40,6 +51,10 @@ def late(spark, folder, tokens: bool = False) -> Corpus:
     return Corpus(mv, multivector="mv")
 
 
+def late_with_text(spark, folder) -> Corpus:
+    return late(spark, folder, tokens=True)
+
+
 def some_vectors(spark, folder, n: int = 1) -> list[list[float]]:
     """The first n embeddings, which serve as queries."""
     return [list(r.embedding) for r in read_table(spark, folder, "embeddings").orderBy("vec_id").limit(n).collect()]
@@ -139,7 +154,7 @@ def vector_normalise(spark, folder):
 
 def _lexical(text: str, where=None):
     def run(spark, folder):
-        return branches.lexical(lexical(spark, folder), analyzer.parse(text), 25, None if where is None else F.expr(where)).select("id", F.round("bm25_score", 6).alias("score"), F.col("bm25_rank").alias("rank"))
+        return branches.lexical(_indexed(spark, folder, lexical), analyzer.parse(text), 25, None if where is None else F.expr(where)).select("id", F.round("bm25_score", 6).alias("score"), F.col("bm25_rank").alias("rank"))
 
     return run
 
@@ -161,7 +176,7 @@ query("bm25_filtered", _lexical_sql(["cache", "kernel"], "tf_0 > 0 or tf_1 > 0",
 
 @query("bm25_strict_not", _lexical_sql(["cache", "without"], "tf_0 > 0 and tf_1 = 0").replace("+ case when tf_1 > 0", "+ case when false"))
 def bm25_strict_not(spark, folder):
-    got = branches.lexical(lexical(spark, folder), analyzer.parse("cache & !without"), 25, strict_not=True)
+    got = branches.lexical(_indexed(spark, folder, lexical), analyzer.parse("cache & !without"), 25, strict_not=True)
     return got.select("id", F.round("bm25_score", 6).alias("score"), F.col("bm25_rank").alias("rank"))
 
 
@@ -185,9 +200,27 @@ def estimate_memory(spark, folder):
     return hybrid(spark, folder).memory()
 
 
-@query("validate_index", "select * from (values ('null_id', 0, null), ('repeated_id', 0, null), ('dimension', 0, null), ('finite', 0, null), ('postings', 0, null), ('recommendation', 0, 'healthy')) t(\"check\", failures, note)")
+def _dirty(spark, folder) -> Corpus:
+    """The hybrid corpus with every fiftieth row twice, some vectors cut short, some with an element that is no number, and some ids lost."""
+    clean = hybrid(spark, folder).table.select("id", "v", "tokens")
+    worse = F.when(F.col("id") % 30 == 2, F.slice("v", 1, 10)).when(F.col("id") % 40 == 3, F.transform("v", lambda x: (x * float("nan")).cast("float"))).otherwise(F.col("v"))
+    rows = clean.unionByName(clean.where("id % 50 = 0")).select(F.when(F.col("id") % 70 != 1, F.col("id")).alias("id"), worse.alias("v"), "tokens")
+    return Corpus(rows, vector="v", tokens="tokens")
+
+
+@query(
+    "validate_index",
+    f"""with {_H}, c as (select * from h union all select * from h where id % 50 = 0), d as (select case when id % 70 <> 1 then id end as id,
+      case when id % 30 = 2 then v[1:10] when id % 40 = 3 then list_transform(v, lambda x: 'nan'::double) else v end as v, len(tokens) as dl from c),
+    z as (select len(v) as s from d group by s order by count(*) desc, s limit 1), t as (select id, sum(dl) as n from d where dl > 0 group by id),
+    k as (select 'null_id' as "check", (select count(*) from d where id is null) as failures
+      union all select 'repeated_id', (select count(*) from (select id from d where id is not null group by id having count(*) > 1))
+      union all select 'dimension', (select count(*) from d, z where len(v) <> s) union all select 'finite', (select count(*) from d where len(list_filter(v, lambda x: isnan(x))) > 0)
+      union all select 'postings', (select count(*) from d join t using (id) where dl > 0 and n <> dl) + (select count(*) * 1 from d where id is null and dl > 0) + (select count(*) from t where id is null))
+    select "check", failures, null::varchar as note from k union all select 'recommendation', 0, case when (select sum(failures) from k) > 0 then 'corrupt' else 'healthy' end""",
+)
 def validate_index(spark, folder):
-    return hybrid(spark, folder).validate(deep=True)
+    return _dirty(spark, folder).validate(deep=True)
 
 
 # ---- fusion
@@ -205,7 +238,7 @@ def _rrf(k: float = 60, dense: float = 1, bm25: float = 1, late: float = 1) -> s
 def _hybrid(limit: int | None = 15, search_options: dict | None = None, **options):
     def run(spark, folder):
         q = HybridQuery(vector=some_vectors(spark, folder)[0], text=_TEXT, **({"dense_k": 30, "bm25_k": 30} | options))
-        return _shown(search.search(hybrid(spark, folder), q, limit, **(search_options or {})))
+        return _shown(search.search(_indexed(spark, folder, hybrid), q, limit, **(search_options or {})))
 
     return run
 
@@ -237,30 +270,61 @@ query("bm25_only_rescore", _fused_sql(_TWO, ["dn", "bm"], _rrf(), 15, extra=_RES
 @query("filtered_hybrid", _fused_sql([_H, _Q, _dense_sql(30, where="label < 5"), _bm25_sql(_TERMS, _MATCH, 30, "label < 5")], ["dn", "bm"], _rrf(), 15))
 def filtered_hybrid(spark, folder):
     q = HybridQuery(vector=some_vectors(spark, folder)[0], text=_TEXT, dense_k=30, bm25_k=30)
-    return _shown(search.search(hybrid(spark, folder), q, 15, F.col("label") < 5))
+    return _shown(search.search(_indexed(spark, folder, hybrid), q, 15, F.col("label") < 5))
+
+
+_POOL = _fused_sql([_H, _Q, _dense_sql(60), _bm25_sql(_TERMS, _MATCH, 60)], ["dn", "bm"], _rrf(), 60).replace("round(fused, 6) as fused", "fused as fused")
 
 
-@query("final_diversity")
+@query(
+    "final_diversity",
+    f"""with p as ({_POOL}), s as (select p.id, p.fused, e.label, (p.fused - min(p.fused) over ()) / (max(p.fused) over () - min(p.fused) over ()) as rel,
+      row_number() over (partition by e.label order by p.fused desc, p.id) as nth from p join embeddings e on e.vec_id = p.id)
+    select 0 as qid, id, label, round(fused, 6) as fused, (row_number() over (order by 0.7 * rel - case when nth > 1 then 0.3 else 0 end desc, fused desc, id))::int as rank from s qualify rank <= 10""",
+)
 def final_diversity(spark, folder):
-    corpus = hybrid(spark, folder)
+    corpus = _indexed(spark, folder, hybrid)
     q = HybridQuery(vector=some_vectors(spark, folder)[0], text=_TEXT, dense_k=60, bm25_k=60)
     pool = search.search(corpus, q, 60).withColumn("qid", F.lit(0)).join(corpus.rows.select("id", "label"), "id")
-    return fusion.diversify(pool, "label", 10)
+    return fusion.diversify(pool, "label", 10).withColumn("fused", F.round("fused", 6))
 
 
-@query(
-    "batch_queries_rrf",
-    f"""with {_H}, q as (select vec_id as qid, embedding::double[] as q from embeddings order by vec_id limit 20),
-    dn as (select qid, id, row_number() over (partition by qid order by d, id) as dense_rank from (select qid, id, {_DISTANCE["cosine"]} as d from h, q) qualify dense_rank <= 30),
-    {_bm25_sql(_TERMS, _MATCH, 30)}, bq as (select qid, id, bm25_rank from bm, q),
-    f as (select qid, id, coalesce(1 / (60 + dense_rank), 0) + coalesce(1 / (60 + bm25_rank), 0) as fused, dense_rank, bm25_rank from dn full outer join bq using (qid, id))
+_ASKED = "list_slice(list_sort(list_distinct(tokens)), 1, 5)"
+
+
+def _batch_sql(fused: str, extra: str = "") -> str:
+    """Every twentieth embedding is a query, with the first five words of its document in the order of the alphabet."""
+    return f"""with {_H}, q as (select id as qid, v as q, {_ASKED} as terms from h where id % 20 = 0),
+    dn as (select qid, id, -d as dense_sim, row_number() over (partition by qid order by d, id) as dense_rank from (select qid, id, {_DISTANCE["cosine"]} as d from h, q) qualify dense_rank <= 30),
+    st as (select count(*) as n, sum(len(tokens)) / count(*) as avgdl from h),
+    p as (select id, term, count(*) as tf, dl from (select id, len(tokens) as dl, unnest(tokens) as term from h) group by id, term, dl),
+    f0 as (select term, count(*) as df from p group by term),
+    bm as (select qid, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * greatest(dl, 1) / greatest(avgdl, 1)))) as s
+      from (select qid, unnest(terms) as term from q) a join p using (term) join f0 using (term), st group by qid, id),
+    bq as (select qid, id, s as bm25_score, row_number() over (partition by qid order by round(s, 9) desc, id) as bm25_rank from bm qualify bm25_rank <= 30){extra},
+    f as (select qid, id, {fused} as fused, dense_rank, bm25_rank from dn full outer join bq using (qid, id))
     select qid, id, round(fused, 6) as fused, dense_rank::int as dense_rank, bm25_rank::int as bm25_rank, (row_number() over (partition by qid order by fused desc,
-      (dense_rank is not null and bm25_rank is not null) desc, dense_rank asc nulls last, bm25_rank asc nulls last, id))::int as rank from f qualify rank <= 10""",
-)
-def batch_queries_rrf(spark, folder):
-    asked = read_table(spark, folder, "embeddings").orderBy("vec_id").limit(20).collect()
-    queries = [(r.vec_id, HybridQuery(vector=list(r.embedding), text=_TEXT, dense_k=30, bm25_k=30)) for r in asked]
-    return search.search_batch(hybrid(spark, folder), queries, 10).select("qid", "id", F.round("fused", 6).alias("fused"), "dense_rank", "bm25_rank", "rank")
+      (dense_rank is not null and bm25_rank is not null) desc, dense_rank asc nulls last, bm25_rank asc nulls last, id))::int as rank from f qualify rank <= 10"""
+
+
+def _batch(spark, folder, **options):
+    """All rows whose number is divisible by 20 are queries, against all rows."""
+    corpus = _indexed(spark, folder, hybrid)
+    asked = corpus.rows.where("id % 20 = 0").select("id", "v", F.slice(F.array_sort(F.array_distinct("tokens")), 1, 5).alias("terms")).collect()
+    queries = [(r.id, HybridQuery(vector=list(r.v), text=" | ".join(r.terms) if r.terms else None, dense_k=30, bm25_k=30, **options)) for r in asked]
+    return search.search_batch(corpus, queries, 10).select("qid", "id", F.round("fused", 6).alias("fused"), "dense_rank", "bm25_rank", "rank")
+
+
+query("batch_queries_rrf", _batch_sql("coalesce(1 / (60 + dense_rank), 0) + coalesce(1 / (60 + bm25_rank), 0)"))(lambda spark, folder: _batch(spark, folder))
+_ALPHA_EACH = f""", sg as (select qid, max(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5))) as high, min(coalesce(df, 0)) as low, count(*) as terms,
+      bool_or(len(term) >= 16 or (len(term) >= 6 and regexp_matches(term, '\\p{{L}}') and regexp_matches(term, '\\p{{N}}'))) as named, any_value(n) as n
+      from (select qid, unnest(terms) as term from q) left join f0 using (term), st group by qid),
+    al as (select qid, case when named or high >= 2.8 or (low > 0 and low <= greatest(4, n // 20)) then 0.35 when terms >= 2 and (high < 1.5 or low >= greatest(1, n // 2)) then 0.7 else 0.5 end as alpha from sg)"""
+_EACH = "(select alpha from al where al.qid = coalesce(dn.qid, bq.qid))"
+query(
+    "batch_queries_calibrated",
+    _batch_sql(_FAST.format(a=f"coalesce({_EACH}, 0.5)") + " + case when dense_sim is not null and bm25_score is not null then 0.06 else 0 end", _ALPHA_EACH),
+)(lambda spark, folder: _batch(spark, folder, fusion="calibrated"))
 
 
 # ---- late interaction
@@ -282,7 +346,7 @@ def maxsim_weighted_masked(spark, folder):
 
 
 query("mv_bm25_rrf", _fused_sql([_MVL, _QM, _late_sql(20), _bm25_sql(_TERMS, _MATCH, 20)], ["lt", "bm"], _rrf(), 15))(
-    lambda spark, folder: _shown(search.search(late(spark, folder, True), _late_query(spark, folder, text=_TEXT, bm25_k=20), 15))
+    lambda spark, folder: _shown(search.search(_indexed(spark, folder, late_with_text), _late_query(spark, folder, text=_TEXT, bm25_k=20), 15))
 )
 
 

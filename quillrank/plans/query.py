@@ -20,7 +20,7 @@ class HybridQuery:
     """At least one of ``vector``, ``text`` (in ``& | ! <-> ( )`` form, or a tree) and ``multivector``.
 
     ``dense_k``, ``bm25_k`` and ``multivector_k`` are the lengths of the branches' lists; 0 turns a branch off. ``token_skip`` true leaves a query
-    token out. ``alpha`` is the dense share of the weighted fusions; the weights act in ``rrf`` and ``dbsf``.
+    token out. ``alpha`` is the dense share of the weighted fusions; the weights act in ``rrf`` and ``dbsf``. A late list holds at most ``MOST_LATE`` rows, a fixed bound of the request format.
     """
 
     vector: Sequence[float] | None = None

@@ -105,6 +105,15 @@ def test_encodings_and_pooling(spark):
     assert {r.id: None if r.p is None else len(r.p) for r in got} == {1: 2, 2: None}
 
 
+def test_pooling_seeds_by_cosine_and_leaves_what_needs_none():
+    x = np.array([[3.0, 0.0], [10.0, 1.0], [0.0, 2.0], [-1.0, 0.1]])
+    assert np.array_equal(multivector.pool(x, 4, 4), x) and np.array_equal(multivector.pool(x[:1], 1, 4), x[:1])
+    got = multivector.pool(x, 2, 1)  # the second seed is the last vector, opposite in direction
+    near = (x @ np.array([[3.0, 0.0], [-1.0, 0.1]]).T).argmax(axis=1)
+    expected = np.stack([x[near == c].mean(axis=0) for c in range(2)])
+    assert np.allclose(got, expected / np.linalg.norm(expected, axis=1, keepdims=True))
+
+
 def test_query_parsing():
     shapes = {"a": "one", "a & b": "all", "a | b": "any", "(a <-> b) | c": "any", "a <-> b": "tree", "c & (b | !a)": "tree", "!a": "none", "b | !a": "any", "!!a": "one", "a & (b | c)": "tree"}
     assert {q: analyzer.shape(analyzer.parse(q)) for q in shapes} == shapes

@@ -168,6 +168,51 @@ def test_batch_equals_single(spark):
         assert [r.id for r in sorted((r for r in got if r.qid == qid), key=lambda r: r.rank)] == ids(search(c, q, 4))
 
 
+def test_batch_equals_single_whatever_the_options(spark):
+    c = corpus(spark).with_index()
+    v = [[1, 0, 0], [0, 1, 0], [0.5, 0.5, 0]]
+    queries = [
+        (1, HybridQuery(v[0], "postgres | search", dense_k=3, bm25_k=3)),
+        (2, HybridQuery(v[1], "document", fusion="calibrated", dense_k=3, bm25_k=3)),
+        (3, HybridQuery(v[1], "postgres | document", fusion="calibrated", alpha=0.9)),
+        (4, HybridQuery(v[2], "fast & (vector | search)", fusion="weighted", alpha=0.3, require_bm25_match=True)),
+        (5, HybridQuery(v[2], fusion="calibrated", final_k=2)),
+        (6, HybridQuery(None, "postgres", fusion="calibrated")),
+        (7, HybridQuery(v[0], "fast", fusion="dbsf", bm25_weight=2.0)),
+        (8, HybridQuery(v[0], "fast", fusion="fast_weighted", dense_k=0)),
+        (9, HybridQuery(v[0], "nowhere", rrf_k=5)),
+    ]
+    shown = lambda r: (r.id, r["rank"], round(r.fused, 9), r.dense_rank, r.bm25_rank)
+    got = search_batch(c, queries).collect()
+    for qid, q in queries:
+        assert sorted(shown(r) for r in got if r.qid == qid) == sorted(shown(r) for r in search(c, q).collect()), qid
+    assert search_batch(c, [(1, HybridQuery(v[0], dense_k=0))]).count() == 0
+
+
+def test_late_batch_equals_single(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=(1 + i % 4, 3)).tolist()) for i in range(40)], "id long, mv array<array<double>>")
+    c = Corpus(df, multivector="mv")
+    queries = [(i, HybridQuery(multivector=Multivector.of(rng.normal(size=(2, 3)).tolist()), token_weights=w, multivector_k=6)) for i, w in ((1, None), (2, (2.0, 0.5)), (3, (0.0, 0.0)))]
+    got = search_batch(c, queries, 5).collect()
+    for qid, q in queries:
+        one = search(c, q, 5).collect()
+        assert sorted((r.id, r.rank, round(r.maxsim, 9)) for r in got if r.qid == qid) == sorted((r.id, r.rank, round(r.maxsim, 9)) for r in one)
+
+
+def test_stored_index_gives_the_rows_of_the_scan_and_reads_no_tokens(spark):
+    plain = corpus(spark, DOCS + [(5, [0.1, 0.2, 0.3], ""), (6, [0.3, 0.2, 0.3], None), (7, None, "postgres")])
+    c = plain.with_index()
+    for text in ("postgres", "postgres | fast", "fast & search", "fast & !vector", "fast & (vector | !search)", "nowhere", "!fast"):
+        for strict in (False, True):
+            tree = analyzer.parse(text)
+            both = [sorted((r.id, r.bm25_rank, round(r.bm25_score, 12)) for r in branches.lexical(x, tree, 5, F.col("id") < 4, strict_not=strict).collect()) for x in (plain, c)]
+            assert both[0] == both[1], text
+    plan = branches.lexical(c, analyzer.parse("postgres | fast"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "tokens" not in plan and "PushedFilters: [In(term" in plan
+    assert c.delete(spark.createDataFrame([(1,)], "id long")).index is None and c.insert(plain.table).index is None
+
+
 def test_rescore_and_diversity(spark):
     c = corpus(spark)
     got = {r.id: (r.dense_rank, r.bm25_rank) for r in search(c, HybridQuery([1, 0, 0], "postgres", dense_k=2), 4, rescore=True).collect()}
