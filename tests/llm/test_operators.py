@@ -612,12 +612,25 @@ def test_beam_finds_the_best_combination():
             total = 0.0
             for step, s in enumerate(chain.order):
                 x = np.concatenate([own[n, s], everywhere[n], [combo[t] for t in chain.order[:step]], [1]])
-                p = 1 / (1 + np.exp(-x @ chain.weights[step]))
+                a, b = chain.scale[step]
+                p = 1 / (1 + np.exp(-(a * (x @ chain.weights[step]) + b)))
                 total += np.log(p if combo[s] else 1 - p)
             worth[combo] = total
         assert tuple(mask[n].astype(int)) == max(worth, key=worth.get)
 
 
+def test_probabilities_are_calibrated_out_of_fold():
+    rng = random.Random(9)
+    names = sorted(WORDS)
+    rows = []
+    for i in range(240):
+        s = i % len(names)
+        # one label in five is wrong, which the probabilities must show
+        rows.append((document(rng, (names[s], 5)), "p", {s if i % 5 else (s + 1) % len(names)}))
+    chain = subjects.Chain(names, rows)
+    assert chain.calibration_error < 0.05 and all(np.isfinite(x).all() for x in chain.scale)
+
+
 def test_subjects_without_labels(spark):
     docs = spark.createDataFrame([(1, "some plain words stand here.", "p")], "doc_id long, text string, source string")
     none = spark.createDataFrame([], "doc_id long, subject string")
