@@ -64,15 +64,58 @@ def p1_frequencies(spark, folder):
 # ---- 2
 
 
-@query("p2_ranking")
+def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"(({out}) * {x} + {c!r})"
+    return out
+
+
+def _inverse_normal(p: str) -> str:
+    """SQL for the inverse normal distribution by rational approximations, good to nine digits."""
+    # fixed values: Acklam's coefficients
+    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+    middle, tail = f"(({p} - 0.5) * ({p} - 0.5))", "sqrt(-2 * ln({}))"
+    low, high = tail.format(p), tail.format(f"(1 - {p})")
+    return f"""case when {p} < 0.02425 then ({_polynomial(c, low)}) / ({_polynomial(d, low)}) when {p} > 0.97575 then -({_polynomial(c, high)}) / ({_polynomial(d, high)})
+      else ({_polynomial(a, middle)}) * ({p} - 0.5) / ({_polynomial(b, middle)}) end"""
+
+
+def _standing(name: str) -> str:
+    """SQL for the percentile of a score among all documents of a query, ties averaged; those without it are tied below."""
+    return f"(rank() over (partition by query_id order by coalesce({name}, -1e300)) - 1 + count(*) over (partition by query_id, coalesce({name}, -1e300)) / 2) / count(*) over (partition by query_id)"
+
+
+_RANKING = f"""with d as (select id::bigint as id, embedding::double[] as v, body_tsv from {_now(HYBRID)}), q as (select query_id, vector_query::double[] as qv, text_query, multivector_query::double[][] as qm from search_queries),
+    t as (select id, term, count(*) as tf from {_terms(HYBRID)} group by id, term), l as (select id, sum(tf) as dl from t group by id),
+    st as (select (select count(body_tsv) from d) as n, (select sum(dl) from l) / (select count(body_tsv) from d) as avgdl), df as (select term, count(*) as df from t group by term),
+    qt as (select distinct query_id, lower(trim(w, ' \t\n\r')) as term from (select query_id, unnest(text_query) as w from q) where trim(w, ' \t\n\r') <> ''),
+    lx as (select query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {ranking.K1 + 1} / (tf + {ranking.K1} * ({1 - ranking.B} + {ranking.B} * greatest(dl, 1) / greatest(avgdl, 1)))) as s1 from qt join t using (term) join df using (term) join l using (id), st group by query_id, id),
+    p as (select document_id as id, list_filter(colbert::double[][], lambda x: len(x) = 16 and list_inner_product(x, x) > 0) as mv from {_now(PASSAGES)} where document_id is not null),
+    lt as (select query_id, id, max(list_sum(list_transform(qm, lambda a: list_max(list_transform(mv, lambda b: list_inner_product(a, b)))))) as s2 from p, q where len(mv) > 0 group by query_id, id),
+    s as (select query_id, id, case when len(v) = 32 and list_inner_product(v, v) > 0 then list_inner_product(v, qv) / sqrt(list_inner_product(v, v) * list_inner_product(qv, qv)) end as s0, s1, s2
+      from q cross join d left join lx using (query_id, id) left join lt using (query_id, id)),
+    u as (select query_id, id, {_standing("round(s0, 14)")} as p0, {_standing("round(s1, 12)")} as p1, {_standing("round(s2, 12)")} as p2 from s),
+    z as (select query_id, id, {_inverse_normal("p0")} as z0, {_inverse_normal("p1")} as z1, {_inverse_normal("p2")} as z2 from u),
+    r as (select *, row_number() over (partition by query_id order by round(z0 + z1 + z2, 8) desc, id) as rank from z qualify rank <= 5)"""
+
+
+@query(
+    "p2_ranking",
+    f"{_RANKING} select query_id, id, rank::int as rank, round((z0 + z1 + z2) / 3, 5) as score, round(z0, 5) as z_dense, round(z1, 5) as z_lexical, round(z2, 5) as z_late from r",
+)
 def p2_ranking(spark, folder):
     docs = current(spark, folder, HYBRID, "embedding", "body_tsv").select("id", F.col("embedding").alias("vec"), F.col("body_tsv").alias("terms"))
     passages = current(spark, folder, PASSAGES, "document_id", "colbert").select("document_id", F.col("colbert").alias("late"))
     asked = read_table(spark, folder, "search_queries").select("query_id", F.col("vector_query").alias("vec"), F.col("text_query").alias("terms"), F.col("multivector_query").alias("late"))
-    return ranking.rank_documents(docs, passages, asked, dense_dim=32, late_dim=16)
+    found = ranking.rank_documents(docs, passages, asked, dense_dim=32, late_dim=16)
+    return found.select("query_id", "id", "rank", *[F.round(c, 5).alias(c) for c in ("score", "z_dense", "z_lexical", "z_late")])
 
 
-@query("p2_found")
+@query("p2_found", f"{_RANKING} select query_id, id from r")
 def p2_found(spark, folder):
     return QUERIES["p2_ranking"](spark, folder).select("query_id", "id")
 
@@ -102,7 +145,24 @@ def p3_found(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
-@query("p3_groups")
+def _groups_sql(name: str, classes: str, links: str) -> str:
+    """``classes``: SQL of ``id`` and ``content``; ``links``: SQL of the pairs ``a, b`` of classes that qualify, both ways, from ``k`` (``class_id, content``)."""
+    return f"""select id, class_id, copies, coalesce(links, 0) as links, coalesce(group_id, class_id) as group_id, '{name}' as table_name from (
+      with recursive m as (select id, min(id) over (partition by content) as class_id, count(*) over (partition by content) as copies, content from ({classes})),
+      k as materialized (select distinct class_id, content from m where id = class_id), e as materialized ({links}), r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+      select m.id, m.class_id, m.copies, g.links, h.group_id from m left join (select a as class_id, count(*) as links from e group by a) g using (class_id)
+      left join (select a as class_id, least(a, min(b)) as group_id from r group by a) h using (class_id))"""
+
+
+_WORD_SETS = f"select id::bigint as id, list_sort(list_distinct(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+'))) as content from {_now(LATE)} where len(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) > 0"
+_WORD_LINKS = """select x.class_id as a, y.class_id as b from (select class_id, len(content) as n, unnest(content) as w from k) x join (select class_id, len(content) as n, unnest(content) as w from k) y using (w)
+      where x.class_id <> y.class_id group by x.class_id, y.class_id, x.n, y.n having count(*) >= 0.75 * (x.n + y.n - count(*))"""
+_VECTOR_SETS = f"select id::bigint as id, embedding::double[] as content from {_now(HYBRID)} where len(embedding) = 32 and list_inner_product(embedding::double[], embedding::double[]) > 0"
+_VECTOR_LINKS = """select x.class_id as a, y.class_id as b from k x join k y on x.class_id <> y.class_id
+      where list_inner_product(x.content, y.content) / sqrt(list_inner_product(x.content, x.content) * list_inner_product(y.content, y.content)) >= 0.98"""
+
+
+@query("p3_groups", f"{_groups_sql(LATE, _WORD_SETS, _WORD_LINKS)} union all {_groups_sql(HYBRID, _VECTOR_SETS, _VECTOR_LINKS)}")
 def p3_groups(spark, folder):
     parts = [d.groups().withColumn("table_name", F.lit(name)) for name, d in _duplicates(spark, folder)]
     return parts[0].unionByName(parts[1])

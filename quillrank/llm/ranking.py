@@ -390,4 +390,6 @@ def _exact(routed, chosen, shared, q, n, dense_dim, late_dim, weights, k, low, h
     first = order[place < k]
     rank = place[place < k] + 1
     out = pa.table({"query_id": q.ids[row[first]], "id": ids[first], "rank": rank.astype(np.int32), "score": score[first], "z_dense": z[0][first], "z_lexical": z[1][first], "z_late": z[2][first]})
+    for held in (kept, bounds, shared):  # all that was asked of them has come out
+        held.unpersist()
     return routed.sparkSession.createDataFrame(out)
