@@ -165,10 +165,9 @@ def _meet(u: np.ndarray, own: np.ndarray, qs: np.ndarray, held: np.ndarray, aske
         told.offer(held[better], new, qs, floor)
 
 
-def _search(plans: list[Plan], dim: int, k: int):
+def _search(plans: list[Plan], dim: int, k: int, width: int):
     """Within a group of cells: the best of every row that lies or visits there, from the cells it probes and from those that probe its own."""
     schema = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64())])
-    width = k + 2
 
     def search(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
@@ -224,7 +223,8 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, *, k: int = 5, own:
     """``key, other, cosine, rank``: the ``k`` nearest rows of every row by cosine.
 
     ``key`` is a unique long; rows with the same ``own`` (by default the key) are no fellows. NULL, zero, non-finite vectors and those
-    of another length are neither queries nor answers. Equal cosines are ordered by the smaller key. An empty table gives no rows.
+    of another length are neither queries nor answers. Equal cosines are ordered by the smaller key; lists have room for two more than ``k``, and for 2 ``k`` where
+    any vector stands in more than ``k`` rows, so that all indexed copies of one find room. Of still more equals at the end of a list any may stay. An empty table gives no rows.
 
     Every row is indexed and every row is a query. Each hash table sends a row as a member to one group of cells and as a visitor to
     the likeliest others (``layout``), so that a row moves a few times whatever the size of the table; nothing is copied to all groups. In a group, each row probes the cells in the order of
@@ -255,7 +255,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, *, k: int = 5, own:
     share = share_probed(rows, dim) if probes is None else probes
     plans = [Plan(dim, rows, sample, bits, visits, share, seed + n) for n in range(tables)]
     routed = kept.select("key", "own", "vec").mapInArrow(_route(plans, dim), "grp int, key long, own long, member boolean, vec array<float>")
-    found = routed.groupBy("grp").applyInArrow(_search(plans, dim, k), "key long, other long, cosine double")
+    found = routed.groupBy("grp").applyInArrow(_search(plans, dim, k, k + 2 if hot is None else 2 * k), "key long, other long, cosine double")
     rank = F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))  # a pair that came from several groups has one rank
     best = found.withColumn("rank", rank).where(F.col("rank") <= k).dropDuplicates(["key", "rank"]).select("key", "other", "cosine", "rank")
     if hot is None:
