@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from quillrank.sources import stage_table
 
-from .arrow import batch, matrix, mix64
+from .arrow import batch, matrix, mix64, ranges
 from .components import connected_components
 from .neighbours import USABLE
 
 FEATURES, BANDS, BAND_ROWS = 24, 24, 2
-SAMPLE_ROWS, BUCKET_ROWS, CHUNK_ROWS, CENTRE_BLOCK = 20_000, 50_000, 100_000, 2048
+SAMPLE_ROWS, SEEN_ROWS, BUCKET_ROWS, CHUNK_ROWS, CENTRE_BLOCK = 20_000, 64, 50_000, 100_000, 2048
+#: Buckets of up to ``SMALL_ROWS`` rows are compared together, ``PAIR_BLOCK`` pairs at a time, larger ones by tiles. The side of a row where its bucket is whole.
+SMALL_ROWS, PAIR_BLOCK, TILE, WHOLE = 24, 200_000, 512, -1
 
 
 class Sets:
@@ -39,15 +41,15 @@ class Sets:
         return (2 * axis + side).astype(np.uint8)
 
     def buckets(self, elements: np.ndarray) -> np.ndarray:
-        """The bucket of each row in each band."""
+        """The bucket of each row in each band, one of 65,536."""
         at = elements.astype(np.int64) + np.arange(FEATURES)[None, :] * 2 * self.dim
-        out = np.empty((len(at), BANDS), np.uint64)
+        out = np.empty((len(at), BANDS), np.uint16)
         for band in range(BANDS):
             key = np.full(len(at), band + 1, np.uint64)
             for k in range(BAND_ROWS):
                 key = mix64(key * np.uint64(31) + self.hashes[band * BAND_ROWS + k][at].min(axis=1))
-            out[:, band] = key
-        return out.view(np.int64)
+            out[:, band] = key >> np.uint64(48)
+        return out
 
 
 def agreements(jaccard: float) -> int:
@@ -55,52 +57,122 @@ def agreements(jaccard: float) -> int:
     return math.ceil(2 * FEATURES * jaccard / (1 + jaccard) - 1e-9)
 
 
-def links(rows: DataFrame, dim: int, *, jaccard: float) -> DataFrame:
-    """Distinct ``id, leader`` of ``id, vec``: records with at least that Jaccard similarity to a leader of a bucket they lie in, leaders themselves included.
+def _agree(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` (elements or bands, by column) agree in at least ``least`` columns, each with each."""
+    total, same = np.zeros((a.shape[1], b.shape[1]), np.uint8), np.empty((a.shape[1], b.shape[1]), bool)
+    for x, y in zip(a, b):
+        np.equal(x[:, None], y[None, :], out=same)
+        np.add(total, same.view(np.uint8), out=total)
+    return total >= least
+
+
+def linked_rows(bucket: np.ndarray, side: np.ndarray, elements: np.ndarray, bands: np.ndarray | None, least: int):
+    """Every two rows of a bucket that agree in at least ``least`` elements: row numbers ``i, j`` of the pairs, or those of the rows and columns of a mask and the mask.
 
-    In each bucket, the first row leads; rows too unlike every leader so far lead in turn. So all rows of a bucket are linked or lead, and no pairs within it are
-    listed. Buckets that a sample shows to hold more than ``BUCKET_ROWS`` rows are split; the stars of their parts meet in the second round.
+    Rows come by ``bucket``. Where one holds both sides 0 and 1, two parts of a split bucket meet in it, and only rows of different sides are compared. With ``bands``, a pair comes out in the first
+    band alone that the two share: once, whatever number of buckets they meet in.
     """
-    sets, least = Sets(dim), agreements(jaccard)
+    start = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
+    size = np.diff(np.append(start, len(bucket)))
+    small = np.repeat(np.where(size <= SMALL_ROWS, start + size, 0), size)
+    owner, other = ranges(np.arange(1, len(bucket) + 1), small)
+    for lo in range(0, len(owner), PAIR_BLOCK):
+        i, j = owner[lo : lo + PAIR_BLOCK], other[lo : lo + PAIR_BLOCK]
+        # eight elements at a time: a byte for each, of which at most three are added
+        agreed = (elements[i] == elements[j]).view(np.uint64).reshape(len(i), -1).sum(axis=1, dtype=np.uint64)
+        good = (agreed * np.uint64(0x0101010101010101) >> np.uint64(56) >= least) & ((side[i] != side[j]) | (side[i] == WHOLE))
+        i, j = i[good], j[good]
+        if bands is not None:
+            first = ((bands[i] == bands[j]).argmax(axis=1)) == bucket_band(bucket[i])
+            i, j = i[first], j[first]
+        yield i, j, None
+    for lo, n in zip(start[size > SMALL_ROWS].tolist(), size[size > SMALL_ROWS].tolist()):
+        at = np.arange(lo, lo + n)
+        band = int(bucket_band(bucket[lo]))
+        e = np.ascontiguousarray(elements[at].T)
+        k = None if bands is None else np.ascontiguousarray(bands[at, :band].T)
+        parts = [np.nonzero(side[at] == v)[0] for v in (0, 1)] if side[lo] != WHOLE else None
+        for x, y, own in _tiles(n) if parts is None else _across(*parts):
+            mask = _agree(e[:, x], e[:, y], least)
+            if own:
+                mask &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+            if k is not None and band:
+                mask &= ~_agree(k[:, x], k[:, y], 1)
+            yield at[x], at[y], mask
+
+
+def bucket_band(bucket):
+    return (bucket >> 16) & 31
+
+
+def _tiles(n: int):
+    """Blocks of rows and columns of the upper triangle, and whether they are the same rows."""
+    cuts = [np.arange(lo, min(lo + TILE, n)) for lo in range(0, n, TILE)]
+    for i, x in enumerate(cuts):
+        for j in range(i, len(cuts)):
+            yield x, cuts[j], i == j
+
+
+def _across(a: np.ndarray, b: np.ndarray):
+    for lo in range(0, len(a), TILE):
+        for low in range(0, len(b), TILE):
+            yield a[lo : lo + TILE], b[low : low + TILE], False
+
+
+def _met(rows: DataFrame, dim: int, reduce, schema: str, *, bands: bool = True, degrees: bool = False) -> DataFrame:
+    """What ``reduce`` gives of the rows of whole buckets, ``rows`` being ``id, vec`` (and ``degree``): it gets bucket, side, id, elements, bands and degrees as arrays.
+
+    A record is sent to one bucket in each band. Buckets that a sample shows to hold more than ``BUCKET_ROWS`` rows are split into parts of which every two meet in a bucket of their own, so that no task gets more, and no pair is lost.
+    """
+    sets = Sets(dim)
     n = rows.count()
-    step = max(1, n // SAMPLE_ROWS)
-    sampled = rows.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("vec").limit(2 * SAMPLE_ROWS).toArrow().column("vec").combine_chunks()
-    keys, counts = np.unique(sets.buckets(sets.elements(matrix(sampled, dim)[1])), return_counts=True)
-    hot, parts = keys[counts * step > BUCKET_ROWS], np.ceil(counts[counts * step > BUCKET_ROWS] * step / BUCKET_ROWS).astype(np.uint64)
-    routed = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("elements", pa.binary(FEATURES))])
-    linked = pa.schema([("id", pa.int64()), ("leader", pa.int64())])
+    step = max(1, min(BUCKET_ROWS // SEEN_ROWS, n // SAMPLE_ROWS))
+
+    def own(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = sets.buckets(elements)
+        return key, ((np.arange(BANDS)[None, :] << 16) + key).astype(np.int64).reshape(-1)
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(own(sets.elements(matrix(b.column(0), dim)[1]))[1])], names=["bucket"])
+
+    sampled = rows.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("vec").mapInArrow(seen, "bucket long")
+    found = sampled.groupBy("bucket").count().where(F.col("count") * step > BUCKET_ROWS).orderBy("bucket").toArrow()
+    hot, parts = found.column("bucket").to_numpy(), np.ceil(found.column("count").to_numpy() * step / BUCKET_ROWS).astype(np.int64)
+    routed = pa.schema([("bucket", pa.int64()), ("side", pa.int8()), ("id", pa.int64()), ("elements", pa.binary()), ("degree", pa.int64())])
+    width = FEATURES + 2 * BANDS * bands
 
     def route(batches):
         for whole in batches:
             for b in (whole.slice(i, 4000) for i in range(0, whole.num_rows, 4000)):
                 usable, x = matrix(b.column(1), dim)
                 ids = b.column(0).to_numpy(zero_copy_only=False)[usable]
+                degree = b.column(2).to_numpy(zero_copy_only=False)[usable]
                 elements = sets.elements(x)
-                bucket = sets.buckets(elements).reshape(-1)
-                again = np.repeat(np.arange(len(ids)), BANDS)
+                key, bucket = own(elements)
+                again, side = np.repeat(np.arange(len(ids)), BANDS), np.full(len(bucket), WHOLE, np.int8)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)
-                    part = np.where(hot[at] == bucket, mix64(ids[again]) % parts[at], 0)
-                    bucket = np.where(part > 0, mix64(bucket.view(np.uint64) + part), bucket.view(np.uint64)).view(np.int64)
-                held = pa.Array.from_buffers(pa.binary(FEATURES), len(ids), [None, pa.py_buffer(np.ascontiguousarray(elements))])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[again]), held.take(pa.array(again)).cast(pa.binary())], names=routed.names)
-
-    def lead(t: pa.Table):
-        bucket, ids = t.column("bucket").to_numpy(), t.column("id").to_numpy()
+                    split = np.where(hot[at] == bucket, parts[at], 1)
+                    mine = (mix64(ids[again]) % split.astype(np.uint64)).astype(np.int64)
+                    copy, other = ranges(np.zeros(len(bucket), np.int64), split)
+                    mine = mine[copy]
+                    low, high = np.minimum(mine, other), np.maximum(mine, other)
+                    again, side = again[copy], np.where(low == high, WHOLE, mine == high).astype(np.int8)
+                    bucket = bucket[copy] + ((low << 21 << 20) + (high << 21))  # parts above the band and its bucket
+                held = np.concatenate([elements, key.view(np.uint8)], axis=1) if bands else elements
+                flat = pa.Array.from_buffers(pa.binary(width), len(ids), [None, pa.py_buffer(np.ascontiguousarray(held))])
+                yield batch(routed, bucket, side, ids[again], flat.take(pa.array(again)).cast(pa.binary()), degree[again])
+
+    def arrays(t: pa.Table):
+        t = t.combine_chunks()
         flat = t.column("elements").combine_chunks()
-        elements = np.frombuffer(flat.buffers()[2], np.uint8)[flat.offset * FEATURES : (flat.offset + len(flat)) * FEATURES].reshape(-1, FEATURES)
-        left, found = np.arange(len(ids)), []
-        while len(left):
-            first = np.concatenate([[True], bucket[left][1:] != bucket[left][:-1]])
-            leader = left[np.nonzero(first)[0][np.cumsum(first) - 1]]
-            near = (elements[left] == elements[leader]).sum(axis=1) >= least
-            joined = near & (left != leader)
-            found.append(np.stack([ids[left[joined]], ids[leader[joined]]], axis=1))
-            left = left[~near]
-        both = np.concatenate(found)
-        both = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
-        if len(both):
-            yield batch(linked, both[:, 0], both[:, 1])
+        held = np.frombuffer(flat.buffers()[2], np.uint8)[: (flat.offset + len(flat)) * width].reshape(-1, width)[flat.offset :]
+        b, side, ids, degree = (t.column(c).to_numpy() for c in ("bucket", "side", "id", "degree"))
+        first = np.concatenate([[True], b[1:] != b[:-1]])
+        company = ~(first & np.concatenate([first[1:], [True]]))
+        held = held[company]
+        return b[company], side[company], ids[company], np.ascontiguousarray(held[:, :FEATURES]), np.ascontiguousarray(held[:, FEATURES:]).view(np.uint16) if bands else None, degree[company]
 
     def scan(batches):
         held, size = [], 0
@@ -112,15 +184,83 @@ def links(rows: DataFrame, dim: int, *, jaccard: float) -> DataFrame:
             t = pa.Table.from_batches(held).combine_chunks()
             bucket = t.column("bucket").to_numpy()
             cut = int(np.searchsorted(bucket, bucket[-1], "left"))
-            if cut:  # the last bucket may go on, and has to be led as a whole
-                yield from lead(t.slice(0, cut).combine_chunks())
+            if cut:  # the last bucket may go on, and is taken as a whole
+                yield from reduce(*arrays(t.slice(0, cut)))
                 t = t.slice(cut)
             held, size = t.to_batches(), 0 if not cut else t.num_rows
         if held:
-            yield from lead(pa.Table.from_batches(held).combine_chunks())
+            yield from reduce(*arrays(pa.Table.from_batches(held)))
 
-    dealt = rows.select("id", "vec").mapInArrow(route, "bucket long, id long, elements binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(scan, "id long, leader long").distinct()
+    sent = rows.select("id", "vec", F.col("degree").cast("long") if degrees else F.lit(0).cast("long").alias("degree"))
+    dealt = sent.mapInArrow(route, "bucket long, side byte, id long, elements binary, degree long").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(scan, schema)
+
+
+def links(rows: DataFrame, dim: int, *, jaccard: float) -> DataFrame:
+    """``a, b`` of every two records of ``id, vec`` that share a bucket and have at least that Jaccard similarity, each pair once, the smaller id first."""
+    least, schema = agreements(jaccard), pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(bucket, side, ids, elements, bands, degree):
+        for i, j, mask in linked_rows(bucket, side, elements, bands, least):
+            if mask is not None:
+                row, column = np.nonzero(mask)
+                i, j = i[row], j[column]
+            x, y = ids[i], ids[j]
+            if len(x):
+                yield batch(schema, np.minimum(x, y), np.maximum(x, y))
+
+    return _met(rows, dim, pairs, "a long, b long")
+
+
+def degrees(rows: DataFrame, dim: int, *, jaccard: float) -> DataFrame:
+    """``id, degree``: how many links each record has, for records with any. The links are counted where they are found and not listed, as a dense place has the square of its size of them."""
+    least, schema = agreements(jaccard), pa.schema([("id", pa.int64()), ("degree", pa.int64())])
+
+    def count(bucket, side, ids, elements, bands, degree):
+        total = np.zeros(len(ids), np.int64)
+        for i, j, mask in linked_rows(bucket, side, elements, bands, least):
+            if mask is None:
+                total += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            else:
+                total[i] += np.count_nonzero(mask, axis=1)
+                total[j] += np.count_nonzero(mask, axis=0)
+        names, at = np.unique(ids, return_inverse=True)
+        held = np.bincount(at, total, len(names)).astype(np.int64)
+        yield batch(schema, names[held > 0], held[held > 0])
+
+    return _met(rows, dim, count, "id long, degree long").groupBy("id").agg(F.sum("degree").alias("degree"))
+
+
+def stars(rows: DataFrame, dim: int, *, jaccard: float) -> DataFrame:
+    """``id, star`` of every record with a link: of the record itself and all that it is linked to, the one with the most links, the larger id where several have as many."""
+    least, schema = agreements(jaccard), pa.schema([("id", pa.int64()), ("degree", pa.int64()), ("star", pa.int64())])
+
+    def best(bucket, side, ids, elements, bands, degree):
+        order = np.lexsort((-ids, -degree))
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        sort = np.lexsort((rank, bucket))  # the first of a row or column of a mask is the best
+        bucket, side, ids, elements, degree, rank = bucket[sort], side[sort], ids[sort], elements[sort], degree[sort], rank[sort]
+        top = rank.copy()
+        for i, j, mask in linked_rows(bucket, side, elements, None, least):
+            if mask is None:
+                np.minimum.at(top, j, rank[i])
+                np.minimum.at(top, i, rank[j])
+            else:
+                row, column = mask.any(axis=1), mask.any(axis=0)
+                top[i[row]] = np.minimum(top[i[row]], rank[j[mask[row].argmax(axis=1)]])
+                top[j[column]] = np.minimum(top[j[column]], rank[i[mask[:, column].argmax(axis=0)]])
+        back = np.empty(len(ids), np.int64)
+        back[rank] = np.arange(len(ids))
+        names, at = np.unique(ids, return_inverse=True)
+        first = np.full(len(names), len(ids))
+        np.minimum.at(first, at, top)
+        if len(names):
+            yield batch(schema, names, degree[back[first]], ids[back[first]])
+
+    counted = stage_table(degrees(rows, dim, jaccard=jaccard), "degrees")
+    found = _met(rows.join(counted, "id"), dim, best, "id long, degree long, star long", bands=False, degrees=True)
+    return found.groupBy("id").agg(F.max(F.struct("degree", "star")).alias("b")).select("id", F.col("b.star").alias("star"))
 
 
 def _mean(rows: DataFrame, key: str, dim: int, weight: str = "1", **counts) -> DataFrame:
@@ -247,8 +387,8 @@ class Clusters:
 def cluster(df: DataFrame, key: str, vector: str, dim: int, *, link: float = 0.15, tight: float = 0.25, same: float = 0.7, rounds: int = 3, spread: float = 0.74, pair: float = 0.9, member: float = 0.625, inner: float = 0.65, outer: float = 0.6, least: int = 4) -> Clusters:
     """Divide vectors into clusters of mutually similar ones; many records may belong to none.
 
-    1. MinHash banding gives candidates, an exact Jaccard of at least ``link`` makes a link to a leader. 2. Each record joins the linked leader of
-    highest degree: loose groups fall apart into stars around their highest-degree medoids. Stars of one record, and those whose mean vector is
+    1. MinHash banding gives candidates, an exact Jaccard of at least ``link`` makes a link; all pairs of a bucket are compared. 2. Each record joins the record of
+    highest degree among those it is linked to and itself: loose groups fall apart into stars around their highest-degree medoids. Stars of one record, and those whose mean vector is
     shorter than ``spread`` (``pair`` for two records), go. 3. The stars' means are banded in the same way; a Jaccard of at least ``tight`` links two of them, and connected
     components of these links are the groups. 4. Every record goes to the group whose middle it lies nearest to, if the cosine is at least
     ``member``; middles are taken again from their members, those within a cosine of ``same`` become one, and the records go to them once more, ``rounds`` times; groups that hold no more records at ``inner`` or more than the density between ``outer`` and ``inner`` makes likely go. 5. A cluster stays if it has ``least`` members
@@ -262,12 +402,8 @@ def cluster(df: DataFrame, key: str, vector: str, dim: int, *, link: float = 0.1
     usable = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where(f"id is not null and size(vec) = {dim} and {USABLE}")
     norm = _length()
     rows = stage_table(usable.select("id", F.transform("vec", lambda v: (v / norm).cast("float")).alias("vec")), "unit")
-    found = stage_table(links(rows, dim, jaccard=link), "links")
-    degree = found.groupBy("leader").agg(F.count("*").alias("degree"))
-    owned = found.unionByName(degree.select(F.col("leader").alias("id"), "leader")).join(degree, "leader")
-    stars = owned.groupBy("id").agg(F.max(F.struct("degree", "leader")).alias("b")).select("id", F.col("b.leader").alias("star"))
-    means = stage_table(_mean(rows.join(stars, "id"), "star", dim).where(_length() >= F.when(F.col("n") >= 3, spread).when(F.col("n") == 2, pair).otherwise(2.0)).withColumnRenamed("star", "id"), "stars")
-    groups = connected_components(links(means, dim, jaccard=tight), "id", "leader").select(F.col("node").alias("id"), "component")
+    means = stage_table(_mean(rows.join(stars(rows, dim, jaccard=link), "id"), "star", dim).where(_length() >= F.when(F.col("n") >= 3, spread).when(F.col("n") == 2, pair).otherwise(2.0)).withColumnRenamed("star", "id"), "stars")
+    groups = connected_components(links(means, dim, jaccard=tight), "a", "b").select(F.col("node").alias("id"), "component")
     named = means.join(groups, "id", "left").select(F.coalesce("component", "id").alias("cluster"), "n", "vec")
     names, centres = _merge(*_collect(_mean(named.withColumnRenamed("n", "w"), "cluster", dim, "w")), same)
     for turn in range(rounds):

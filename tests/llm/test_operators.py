@@ -442,6 +442,29 @@ def test_a_small_cluster_stands_out_among_many_unrelated_records(spark):
     assert [r.cluster for r in counted.where(clustering._apart(16, 0.65, 0.6, 5, 4)).collect()] == [5]
 
 
+@pytest.mark.parametrize(("rows", "small"), [(50_000, 24), (40, 24), (40, 2)])
+def test_links_are_all_pairs_of_a_bucket(spark, monkeypatch, rows, small):
+    """Every two similar rows of a bucket are linked, not the rows and a leader alone, and parts of a split bucket meet; the degrees and stars are those of these links."""
+    monkeypatch.setattr(clustering, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(clustering, "SMALL_ROWS", small)
+    monkeypatch.setattr(clustering, "TILE", 16)
+    rng = np.random.default_rng(31)
+    x = np.concatenate([*(m + rng.normal(size=(90, 16)) * 0.14 for m in unit(2, 16, rng)), unit(60, 16, rng)]).astype(np.float32)
+    ids = rng.permutation(len(x)) * 3
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, vec array<float>")
+    sets = clustering.Sets(16)
+    elements = sets.elements(x)
+    bands = sets.buckets(elements)
+    near = ((elements[:, None] == elements[None]).sum(axis=2) >= clustering.agreements(0.15)) & (bands[:, None] == bands[None]).any(axis=2) & ~np.eye(len(x), dtype=bool)
+    expected = {(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(near)) if ids[i] < ids[j]}
+    got = [tuple(r) for r in clustering.links(df, 16, jaccard=0.15).collect()]
+    assert len(got) == len(set(got)) > 1000 and set(got) == expected
+    degree = {int(ids[i]): int(n) for i, n in enumerate(near.sum(axis=1)) if n}
+    assert {r.id: r.degree for r in clustering.degrees(df, 16, jaccard=0.15).collect()} == degree
+    stars = {int(ids[i]): max((degree[int(ids[j])], int(ids[j])) for j in [i, *np.nonzero(near[i])[0]])[1] for i in range(len(x)) if near[i].any()}
+    assert {r.id: r.star for r in clustering.stars(df, 16, jaccard=0.15).collect()} == stars
+
+
 def test_clusters_of_nothing(spark):
     found = clustering.cluster(spark.createDataFrame([], "id long, v array<float>"), "id", "v", 4)
     assert found.members.count() == 0 and clustering.match(found, spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "id long, vec array<float>"), 4).count() == 0
