@@ -620,6 +620,32 @@ def test_subject_chain_on_held_out_documents(spark):
     assert hits >= 0.95 * sum(len(got[i]) for i in range(250, 500)) and hits >= 0.95 * sum(len(truth[i]) for i in range(250, 500))
 
 
+def test_subjects_are_learnt_from_all_documents(spark):
+    """Every label counts, and so does every unlabelled text, however many there are."""
+    rng = random.Random(12)
+    kinds = ["law"] * 15_000 + ["food"] * 5_500
+    rows = [(i, document(rng, (s, 1)), f"s{i % 7}") for i, s in enumerate(kinds)]
+    rows += [(30_000 + 3 * w + j, f"the {rng.choice(WORDS['law'])} and {rng.choice(WORDS['law'])} with rare{chr(97 + w)} here.", None) for w in range(20) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, subject string")
+    chain = subjects.train(docs, "doc_id", "text", "source", labels, "doc_id", "subject", ["food", "law"])
+    assert chain.prior.tolist() == [5_500 / 20_500, 15_000 / 20_500]
+    assert {f"rare{chr(97 + w)}" for w in range(20)} <= set(chain.lexicon.code)
+    assert chain.sources["s3"][1] == pytest.approx(math.log((sum(k == "law" and i % 7 == 3 for i, k in enumerate(kinds)) + 5 * chain.prior[1] + 1e-3) / (sum(i % 7 == 3 for i in range(20_500)) + 5)) - math.log(chain.prior[1] + 1e-3))
+
+
+def test_regressions_over_tasks_are_those_of_all_rows():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(300, 3)), np.ones((300, 1))], axis=1)
+    y = (x @ [1.0, -2.0, 0.0, 0.5] + rng.normal(size=300) > 0).astype(float)
+
+    def sums(ws):
+        parts = [subjects._slopes(x[i::3], y[i::3], ws[0]) for i in range(3)]
+        return {0: tuple(sum(p[i] for p in parts) for i in range(2))}
+
+    assert subjects._newton(sums, [4], 1.0)[0] == pytest.approx(subjects._logistic(x, y))
+
+
 def test_beam_finds_the_best_combination():
     rng = random.Random(6)
     rows = [(document(rng, (s, 5)), "p", {i}) for i, s in enumerate(sorted(WORDS)) for _ in range(20)]
