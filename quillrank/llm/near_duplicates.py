@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -13,15 +12,15 @@ from pyspark.sql import functions as F
 
 from quillrank.sources import stage_table
 
+from . import bktree
 from .arrow import batch, matrix, mix64, ranges
-from .bktree import Forest
 from .components import connected_components
 from .neighbours import USABLE
 
 SAMPLE_ROWS, SAMPLE_WORDS, COMMON_ROWS, BLOCK_ROWS, CHUNK_ROWS = 20_000, 1024, 300, 20_000, 50_000
 #: A shard of ``BLOCK_ROWS`` rows has so many in the sample that finds the large ones.
 SEEN_ROWS = 64
-LADDER, RATIO = 1024, 1.1
+SMALL_ROWS, PAIR_BLOCK = 32, 200_000
 TABLE_BITS, TABLE_ROWS, CODE_BITS, MISSED = 16, 1 << 20, 128, 2e-4
 _ROWS = "shard long, id long, reach float, c0 long, c1 long"
 _SCHEMA = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("reach", pa.float32()), ("c0", pa.int64()), ("c1", pa.int64())])
@@ -53,8 +52,7 @@ def in_blocks(rows: np.ndarray, shard: np.ndarray, ids: np.ndarray, hot: np.ndar
 def code_pairs(rows: DataFrame) -> DataFrame:
     """Distinct pairs ``a, b`` of ids in one shard whose codes lie within the sum of their ``reach`` in Hamming distance, the smaller reach being at least 3/4 of the larger.
 
-    The rows of a shard come to one task in a row, and its BK-trees live only there, one for every step of a ladder of
-    reaches. Each row searches the trees of its own step and of those below down to 3/4 of its reach, with the radius of twice its own reach.
+    The rows of a shard come to one task in a row, and its BK-tree lives only there (``bktree.close_pairs``).
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -85,18 +83,24 @@ def code_pairs(rows: DataFrame) -> DataFrame:
             return
         shard, ids, reach = shard[company], ids[company], reach[company]
         codes = np.stack([t.column(c).to_numpy()[company] for c in ("c0", "c1")], axis=1).view(np.uint64)
-        number = np.cumsum(np.concatenate([[0], shard[1:] != shard[:-1]])) * LADDER
-        rung = np.floor(np.log(np.maximum(reach, 0.01) * 100) / np.log(RATIO)).astype(np.int64)
-        tree = Forest(codes, number + rung)
-        radius = np.floor(2 * reach + 1e-4).astype(np.int64)
+        order = np.lexsort((reach, shard))
+        shard, ids, reach, codes = shard[order], ids[order], reach[order], codes[order]
+        start = np.nonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))[0]
+        size = np.diff(np.append(start, len(shard)))
         found = [np.zeros((0, 2), np.int64)]
-        for q, n in itertools.chain.from_iterable(tree.search(codes, number + rung - k, radius) for k in range(math.ceil(math.log(4 / 3) / math.log(RATIO)) + 1)):
-            fit = ((reach[n] < reach[q]) | ((reach[n] == reach[q]) & (ids[n] < ids[q]))) & (reach[n] >= 0.75 * reach[q] - 1e-4) & (ids[n] != ids[q])
-            q, n = q[fit], n[fit]
-            d = np.bitwise_count(codes[q] ^ codes[n]).sum(axis=1, dtype=np.int64)
-            fit = d <= reach[q] + reach[n] + 1e-4
-            x, y = ids[q[fit]], ids[n[fit]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+
+        def add(x: np.ndarray, y: np.ndarray) -> None:
+            x, y = ids[x], ids[y]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y])
+
+        one, two = ranges(np.arange(1, len(shard) + 1), np.repeat(np.where(size <= SMALL_ROWS, start + size, 0), size))
+        for lo in range(0, len(one), PAIR_BLOCK):  # small shards all at once
+            x, y = one[lo : lo + PAIR_BLOCK], two[lo : lo + PAIR_BLOCK]
+            fit = bktree.fits(bktree.hamming(codes[x], codes[y]), reach[x], reach[y], 0.75)
+            add(x[fit], y[fit])
+        for lo, n in zip(start[size > SMALL_ROWS].tolist(), size[size > SMALL_ROWS].tolist()):
+            for x, y in bktree.close_pairs(codes, reach, np.arange(lo, lo + n)):
+                add(x, y)
         both = np.unique(np.concatenate(found), axis=0)
         if len(both):
             yield batch(schema, both[:, 0], both[:, 1])

@@ -3,6 +3,7 @@ import datetime
 import itertools
 import math
 import random
+import time
 from statistics import NormalDist
 
 import numpy as np
@@ -116,6 +117,31 @@ def test_bk_forest_against_brute_force():
     assert not list(bktree.Forest(codes[:0], shards[:0]).search(codes, shards, radius))
 
 
+@pytest.mark.parametrize("leaf", [4096, 300, 7])
+def test_close_pairs_against_brute_force(leaf):
+    rng = np.random.default_rng(17)
+    codes = rng.integers(0, 2**40, (700, 2)).astype(np.uint64)
+    codes[300:600] = codes[rng.integers(0, 300, 300)] ^ (np.uint64(1) << rng.integers(0, 40, (300, 2)).astype(np.uint64))
+    codes[600:] = codes[5]
+    reach = np.sort(rng.uniform(0.2, 12, 700)).astype(np.float32)
+    got = [frozenset((int(i), int(j))) for x, y in bktree.close_pairs(codes, reach, np.arange(700), leaf=leaf) for i, j in zip(x, y)]
+    d = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2, dtype=np.int64)
+    good = (d <= reach[:, None] + reach[None] + 1e-4) & (np.minimum(reach[:, None], reach[None]) >= 0.75 * np.maximum(reach[:, None], reach[None]) - 1e-4)
+    assert len(got) == len(set(got)) and set(got) == {frozenset((i, j)) for i, j in itertools.combinations(range(700), 2) if good[i, j]}
+
+
+def test_a_shard_of_unrelated_codes_costs_far_less_than_a_tree_of_single_rows():
+    codes = np.random.default_rng(18).integers(0, 2**63, (2500, 2)).astype(np.uint64)
+    reach = np.full(len(codes), 10, np.float32)
+    began = time.process_time()
+    for _ in bktree.Forest(codes, np.zeros(len(codes), np.int64)).search(codes, np.zeros(len(codes), np.int64), np.full(len(codes), 20)):
+        pass
+    tree = time.process_time() - began
+    began = time.process_time()
+    assert not list(bktree.close_pairs(codes, reach, np.arange(len(codes))))
+    assert time.process_time() - began < tree / 3
+
+
 def edited_texts(rng, n=150):
     pool = [f"word{i}" for i in range(400)] + ["the", "a", "of"] * 30
     texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(4, 60))) for _ in range(n)]
