@@ -93,6 +93,61 @@ def test_ranking_against_brute_force(spark, monkeypatch, many):
         assert [v for _, v in got[qid]] == pytest.approx(z[order].tolist(), abs=1e-6)
 
 
+def ranked_by_hand(docs, passages, asked, k=5):
+    """``{query_id: [(id, score), ...]}``; documents have ids from 0, scores are level if they agree to 12 digits."""
+    n, held = len(docs), [t for _, _, t in docs if t is not None]
+    mean, df = sum(map(len, held)) / len(held), collections.Counter(w for t in held for w in set(t))
+    out = {}
+    for qid, qv, qt, qm in asked:
+        s = np.full((3, n), -np.inf)
+        for i, v, t in docs:
+            if qv and v and any(v):
+                a, b = np.float32(qv).astype(float), np.float32(v).astype(float)
+                s[0, i] = a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+            for w in {*qt} & {*(t or [])}:
+                tf, idf = t.count(w), math.log(1 + (len(held) - df[w] + 0.5) / (df[w] + 0.5))
+                s[1, i] = max(s[1, i], 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean))
+        for i, mv in passages:
+            if i is not None and mv and qm:
+                s[2, i] = max(s[2, i], (np.float32(qm).astype(float) @ np.float32(mv).astype(float).T).max(axis=1).sum())
+        z = np.zeros(n)
+        for x in np.round(s, 12):
+            o = np.sort(x)
+            z += ranking.normal_quantile((np.searchsorted(o, x, "left") + np.searchsorted(o, x, "right")) / 2 / n) / 3
+        out[qid] = [(int(i), z[i]) for i in np.lexsort((np.arange(n), -np.round(z, 9)))[:k]]
+    return out
+
+
+def test_ranking_by_tails(spark, monkeypatch):
+    """Queries whose first documents stand high on every score are ranked in one reading, without the histograms of all pairs; the others by these."""
+    rng, words, n, dim, many = np.random.default_rng(12), random.Random(12), 6000, 8, 40
+    asked = [(i, unit(1, dim, rng)[0].tolist(), [f"a{i}", f"b{i}", "x"], unit(4 if i % 2 else 3, 4, rng).tolist()) for i in range(many)]
+    asked += [(90, unit(1, dim, rng)[0].tolist(), ["x", "y"], unit(2, 4, rng).tolist()), (91, unit(1, dim, rng)[0].tolist(), ["never"], None), (92, None, ["a0", "y"], unit(1, 4, rng).tolist()), (93, None, [], None)]
+    docs = [(i, None if i % 17 == 0 else [0.0] * dim if i % 23 == 0 else v.tolist(), None if i % 13 == 0 else [words.choice("xyzuvw") for _ in range(i % 7)]) for i, v in enumerate(unit(n, dim, rng))]
+    passages = [(int(rng.integers(0, n)), (unit(int(rng.integers(1, 5)), 4, rng) * 0.8).tolist()) for _ in range(2000)] + [(None, [[9.0] * 4]), (7, None), (8, []), (9, (unit(150, 4, rng) * 0.5).tolist())]
+    for i, v, _, mv in asked[:many]:
+        for j in range(5):  # the two words are level whichever of them comes twice
+            at = 1000 + 5 * i + j
+            docs[at] = (at, (np.array(v) * (2 if j == 4 else 1) + rng.normal(size=dim) * 0.02).tolist(), [f"a{i}", f"b{i}", "x", [f"a{i}", f"b{i}"][j % 2]])
+            passages.append((at, (np.array(mv) + rng.normal(size=(len(mv), 4)) * 0.02).tolist()))
+    docs[3000] = (3000, (np.float32(docs[1000][1]) * 2).tolist(), docs[1000][2])
+    kinds = "id long, vec array<float>, terms array<string>", "document_id long, late array<array<float>>", "query_id long, vec array<float>, terms array<string>, late array<array<float>>"
+    d, p, q = (spark.createDataFrame(rows, kind) for rows, kind in zip((docs, passages, asked), kinds))
+    slow, whole = [], ranking._rank
+    monkeypatch.setattr(ranking, "_rank", lambda docs, hot, q, *rest: slow.extend(q.ids.tolist()) or whole(docs, hot, q, *rest))
+    want = ranked_by_hand(docs, passages, asked)
+    for most in (ranking.MOST_TAIL, 3):
+        monkeypatch.setattr(ranking, "MOST_TAIL", most)
+        slow.clear()
+        got = collections.defaultdict(list)
+        for r in ranking.rank_documents(d, p, q, dense_dim=dim, late_dim=4).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.id, r.score))
+        for i, rows in want.items():
+            assert [x for x, _ in got[i]] == [x for x, _ in rows]
+            assert [x for _, x in got[i]] == pytest.approx([x for _, x in rows], abs=1e-9)
+        assert not most > 3 or {*slow} <= {90, 91, 92, 93}
+
+
 def test_ranking_of_nothing(spark):
     d = spark.createDataFrame([], "id long, vec array<float>, terms array<string>")
     p = spark.createDataFrame([], "document_id long, late array<array<float>>")
