@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from quillrank.sources import stage_table
 
-from .arrow import batch, matrix, mix64, ranges
+from .arrow import batch, lists_of, matrix, mix64, ranges
 from .components import connected_components
-from .neighbours import USABLE
 
 FEATURES, BANDS, BAND_ROWS = 24, 24, 2
-SAMPLE_ROWS, SEEN_ROWS, BUCKET_ROWS, CHUNK_ROWS, CENTRE_BLOCK = 20_000, 64, 50_000, 100_000, 2048
-#: Buckets of up to ``SMALL_ROWS`` rows are compared together, ``PAIR_BLOCK`` pairs at a time, larger ones by tiles. The side of a row where its bucket is whole.
-SMALL_ROWS, PAIR_BLOCK, TILE, WHOLE = 24, 200_000, 512, -1
+SAMPLE_ROWS, SEEN_ROWS, BUCKET_ROWS, CHUNK_ROWS, CENTRE_BLOCK, SUM_ROWS = 20_000, 64, 50_000, 100_000, 2048, 50_000
+#: Buckets of up to ``SMALL_ROWS`` rows are compared together, ``PAIR_BLOCK`` pairs at a time, those of up to ``MIDDLE_ROWS`` with others of about their size, larger ones by tiles. The side of a row where its bucket is whole.
+SMALL_ROWS, MIDDLE_ROWS, PAIR_BLOCK, TILE, WHOLE = 24, 256, 200_000, 512, -1
+LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
 
 
 class Sets:
@@ -58,10 +58,11 @@ def agreements(jaccard: float) -> int:
 
 
 def _agree(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    """Which rows of ``a`` and ``b`` (elements or bands, by column) agree in at least ``least`` columns, each with each."""
-    total, same = np.zeros((a.shape[1], b.shape[1]), np.uint8), np.empty((a.shape[1], b.shape[1]), bool)
+    """Which rows of ``a`` and ``b`` (elements or bands, by column, and by bucket where there are several) agree in at least ``least`` columns, each with each."""
+    total = np.zeros((*a.shape[1:], b.shape[-1]), np.uint8)
+    same = np.empty(total.shape, bool)
     for x, y in zip(a, b):
-        np.equal(x[:, None], y[None, :], out=same)
+        np.equal(x[..., :, None], y[..., None, :], out=same)
         np.add(total, same.view(np.uint8), out=total)
     return total >= least
 
@@ -76,17 +77,35 @@ def linked_rows(bucket: np.ndarray, side: np.ndarray, elements: np.ndarray, band
     size = np.diff(np.append(start, len(bucket)))
     small = np.repeat(np.where(size <= SMALL_ROWS, start + size, 0), size)
     owner, other = ranges(np.arange(1, len(bucket) + 1), small)
-    for lo in range(0, len(owner), PAIR_BLOCK):
-        i, j = owner[lo : lo + PAIR_BLOCK], other[lo : lo + PAIR_BLOCK]
-        # eight elements at a time: a byte for each, of which at most three are added
-        agreed = (elements[i] == elements[j]).view(np.uint64).reshape(len(i), -1).sum(axis=1, dtype=np.uint64)
-        good = (agreed * np.uint64(0x0101010101010101) >> np.uint64(56) >= least) & ((side[i] != side[j]) | (side[i] == WHOLE))
+
+    words = np.ascontiguousarray(elements.view(np.uint64).T)  # eight elements in each
+
+    def own(i: np.ndarray, j: np.ndarray):
+        good = (side[i] != side[j]) | (side[i] == WHOLE)
         i, j = i[good], j[good]
         if bands is not None:
             first = ((bands[i] == bands[j]).argmax(axis=1)) == bucket_band(bucket[i])
             i, j = i[first], j[first]
-        yield i, j, None
-    for lo, n in zip(start[size > SMALL_ROWS].tolist(), size[size > SMALL_ROWS].tolist()):
+        return i, j, None
+
+    for lo in range(0, len(owner), PAIR_BLOCK):
+        i, j = owner[lo : lo + PAIR_BLOCK], other[lo : lo + PAIR_BLOCK]
+        differ = np.zeros(len(i), np.uint8)
+        for word in words:  # the high bit of each byte that is not zero
+            x = word[i] ^ word[j]
+            differ += np.bitwise_count(((x & LOW) + LOW | x) & ~LOW)
+        good = differ <= FEATURES - least
+        yield own(i[good], j[good])
+    middle, large = (size > SMALL_ROWS) & (size <= MIDDLE_ROWS), size > max(SMALL_ROWS, MIDDLE_ROWS)
+    for lo, n in _alike(start[middle], size[middle]):
+        place = np.arange(n.max())
+        at = lo[:, None] + np.minimum(place, n[:, None] - 1)  # the last row again where a bucket has fewer
+        e = np.ascontiguousarray(elements[at].transpose(2, 0, 1))
+        mask = _agree(e, e, least)
+        mask &= (place[:, None] < place) & (place < n[:, None])[:, None, :]
+        k, i, j = np.unravel_index(np.flatnonzero(mask), mask.shape)
+        yield own(at[k, i], at[k, j])
+    for lo, n in zip(start[large].tolist(), size[large].tolist()):
         at = np.arange(lo, lo + n)
         band = int(bucket_band(bucket[lo]))
         e = np.ascontiguousarray(elements[at].T)
@@ -105,6 +124,18 @@ def bucket_band(bucket):
     return (bucket >> 16) & 31
 
 
+def _alike(start: np.ndarray, size: np.ndarray):
+    """Buckets of about one size (by an eighth at most), as many at a time as have the cells of a tile: their starts and sizes."""
+    order = np.argsort(size, kind="stable")
+    start, size = start[order], size[order]
+    lo = 0
+    while lo < len(size):
+        hi = int(np.searchsorted(size, size[lo] * 9 // 8, "right"))
+        hi = min(hi, lo + max(1, TILE * TILE // int(size[hi - 1]) ** 2))
+        yield start[lo:hi], size[lo:hi]
+        lo = hi
+
+
 def _tiles(n: int):
     """Blocks of rows and columns of the upper triangle, and whether they are the same rows."""
     cuts = [np.arange(lo, min(lo + TILE, n)) for lo in range(0, n, TILE)]
@@ -274,57 +305,96 @@ def _length(column: str = "vec"):
     return F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
 
 
+def _unit(rows: DataFrame, dim: int) -> DataFrame:
+    """``id, vec`` with vectors of length one, without NULL, zero and non-finite vectors and those of another length."""
+    schema = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float32()))])
+
+    def scale(batches):
+        for b in batches:
+            usable, x = matrix(b.column(1), dim)
+            if not len(x):
+                continue
+            x = x.astype(np.float64)
+            square = np.zeros(len(x))
+            for v in x.T:
+                square += v * v
+            yield batch(schema, b.column(0).filter(pa.array(usable)), lists_of((x / np.sqrt(square)[:, None]).astype(np.float32)))
+
+    return rows.select("id", "vec").mapInArrow(scale, "id long, vec array<float>")
+
+
+def _scored(lists: pa.Array, dim: int, c: np.ndarray, each=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which vectors are usable, their matrix, the centre nearest to each and the cosine to it. Centres are taken by blocks; ``each`` gets the first of a block and its cosines."""
+    usable, v = matrix(lists, dim)
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    best, value, row = np.zeros(len(x), np.int64), np.full(len(x), -np.inf, np.float32), np.arange(len(x))
+    for lo in range(0, len(c), CENTRE_BLOCK):
+        s = x @ c[lo : lo + CENTRE_BLOCK].T
+        top = s.argmax(axis=1)
+        most = s[row, top]
+        better = most > value
+        best[better], value[better] = lo + top[better], most[better]
+        if each:
+            each(lo, s)
+    return usable, v, best, value.astype(np.float64)
+
+
 def nearest_centre(rows: DataFrame, dim: int, names: np.ndarray, centres: np.ndarray, *, least: float) -> DataFrame:
-    """``id, cluster, cosine, vec``: the centre nearest to each record, for records with a cosine of at least ``least``. Centres come in blocks, so that what is broadcast is bounded."""
-    schema = pa.schema([("id", pa.int64()), ("cluster", pa.int64()), ("cosine", pa.float64()), ("vec", pa.list_(pa.float32()))])
-
-    def block(lo: int) -> DataFrame:
-        c, own = centres[lo : lo + CENTRE_BLOCK].astype(np.float32), names[lo : lo + CENTRE_BLOCK]
-
-        def find(batches):
-            for whole in batches:
-                for b in (whole.slice(i, 4000) for i in range(0, whole.num_rows, 4000)):
-                    usable, x = matrix(b.column(1), dim)
-                    if not len(x):
-                        continue
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    s = x @ c.T
-                    best = s.argmax(axis=1)
-                    value = s[np.arange(len(x)), best].astype(np.float64)
-                    good = value >= least
-                    vec = b.column(1).filter(pa.array(usable)).filter(pa.array(good))
-                    yield batch(schema, b.column(0).filter(pa.array(usable)).filter(pa.array(good)), own[best[good]], value[good], vec)
-
-        return rows.select("id", "vec").mapInArrow(find, "id long, cluster long, cosine double, vec array<float>")
-
-    if len(centres) <= CENTRE_BLOCK:
-        return block(0)
-    found = block(0)
-    for lo in range(CENTRE_BLOCK, len(centres), CENTRE_BLOCK):
-        found = found.unionByName(block(lo))
-    return found.groupBy("id").agg(F.max_by(F.struct("cluster", "cosine", "vec"), "cosine").alias("b")).select("id", "b.*")
-
-
-def around(rows: DataFrame, dim: int, names: np.ndarray, centres: np.ndarray, *, inner: float, outer: float) -> DataFrame:
-    """``cluster, core, rim``: how many of all records lie at ``inner`` or more from each centre, and between ``outer`` and ``inner``, whichever centre they are nearest to. Each task sends one row for a centre."""
-    schema = pa.schema([("cluster", pa.int64()), ("core", pa.int64()), ("rim", pa.int64())])
+    """``id, cluster, cosine``: the centre nearest to each record, for records with a cosine of at least ``least``."""
+    schema = pa.schema([("id", pa.int64()), ("cluster", pa.int64()), ("cosine", pa.float64())])
     c = centres.astype(np.float32)
 
+    def find(batches):
+        for whole in batches:
+            for b in (whole.slice(i, 4000) for i in range(0, whole.num_rows, 4000)):
+                usable, _, best, value = _scored(b.column(1), dim, c)
+                good = value >= least
+                if good.any():
+                    yield batch(schema, b.column(0).filter(pa.array(usable)).filter(pa.array(good)), names[best[good]], value[good])
+
+    return rows.select("id", "vec").mapInArrow(find, "id long, cluster long, cosine double")
+
+
+def around(rows: DataFrame, dim: int, names: np.ndarray, centres: np.ndarray, *, inner: float, outer: float, least: float | None = None) -> DataFrame:
+    """``cluster, core, rim, n, vec``, in one reading: how many of all records lie at ``inner`` or more from each centre, and between ``outer`` and ``inner``, whichever centre they are nearest to; number and mean of those that are nearest to
+    it, at ``least`` (by default ``inner``) or more. Each task sends one row for a centre, and one for each that is the nearest in ``SUM_ROWS`` records."""
+    schema = pa.schema([("cluster", pa.int64()), ("core", pa.int64()), ("wide", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))])
+    c, least = centres.astype(np.float32), inner if least is None else least
+
+    def totals(held):
+        best, v = (np.concatenate(x) for x in zip(*held))
+        if len(best):
+            order = np.argsort(best, kind="stable")
+            start = np.nonzero(np.diff(best[order], prepend=-1))[0]
+            none = np.zeros(len(start), np.int64)
+            yield batch(schema, names[best[order[start]]], none, none, np.diff(start, append=len(best)), lists_of(np.add.reduceat(v[order].astype(np.float64), start, axis=0)))
+
     def count(batches):
         core, wide = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+
+        def see(lo: int, s: np.ndarray) -> None:
+            near = np.flatnonzero(s >= outer)
+            centre = lo + near % s.shape[1]
+            np.add.at(wide, centre, 1)
+            np.add.at(core, centre[s.reshape(-1)[near] >= inner], 1)
+
+        held, size = [], 0
         for whole in batches:
             for b in (whole.slice(i, 4000) for i in range(0, whole.num_rows, 4000)):
-                x = matrix(b.column(0), dim)[1]
-                if not len(x):
-                    continue
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                for lo in range(0, len(c), CENTRE_BLOCK):
-                    s = x @ c[lo : lo + CENTRE_BLOCK].T
-                    core[lo : lo + CENTRE_BLOCK] += np.count_nonzero(s >= inner, axis=0)
-                    wide[lo : lo + CENTRE_BLOCK] += np.count_nonzero(s >= outer, axis=0)
-        yield batch(schema, names, core, wide - core)
+                _, v, best, value = _scored(b.column(0), dim, c, see)
+                good = value >= least
+                held.append((best[good], v[good]))
+                size += len(v)
+                if size >= SUM_ROWS:
+                    yield from totals(held)
+                    held, size = [], 0
+        if held:
+            yield from totals(held)
+        yield batch(schema, names, core, wide, np.zeros(len(c), np.int64), pa.nulls(len(c), pa.list_(pa.float64())))
 
-    return rows.select("vec").mapInArrow(count, "cluster long, core long, rim long").groupBy("cluster").agg(F.sum("core").alias("core"), F.sum("rim").alias("rim"))
+    sent = rows.select("vec").mapInArrow(count, "cluster long, core long, wide long, n long, total array<double>")
+    added = sent.groupBy("cluster").agg(*[F.sum(k).alias(k) for k in ("core", "wide", "n")], *[F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(dim)])
+    return added.select("cluster", "core", (F.col("wide") - F.col("core")).alias("rim"), "n", F.array(*[(F.col(f"s{i}") / F.greatest("n", F.lit(1))).cast("float") for i in range(dim)]).alias("vec"))
 
 
 def _collect(centres: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -397,11 +467,9 @@ def cluster(df: DataFrame, key: str, vector: str, dim: int, *, link: float = 0.1
 
     Ids must be unique. NULL, zero, non-finite vectors and those of another length belong to no cluster. Rows with one and the same vector
     always share one. An empty table gives no clusters. Only the middles of groups come to the driver, at most one for two records of a dense
-    place, and they are sent out again in blocks of ``CENTRE_BLOCK``.
+    place, and they are sent out again; a task compares them by blocks of ``CENTRE_BLOCK``.
     """
-    usable = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where(f"id is not null and size(vec) = {dim} and {USABLE}")
-    norm = _length()
-    rows = stage_table(usable.select("id", F.transform("vec", lambda v: (v / norm).cast("float")).alias("vec")), "unit")
+    rows = stage_table(_unit(df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where("id is not null"), dim), "unit")
     means = stage_table(_mean(rows.join(stars(rows, dim, jaccard=link), "id"), "star", dim).where(_length() >= F.when(F.col("n") >= 3, spread).when(F.col("n") == 2, pair).otherwise(2.0)).withColumnRenamed("star", "id"), "stars")
     groups = connected_components(links(means, dim, jaccard=tight), "a", "b").select(F.col("node").alias("id"), "component")
     named = means.join(groups, "id", "left").select(F.coalesce("component", "id").alias("cluster"), "n", "vec")
@@ -409,20 +477,18 @@ def cluster(df: DataFrame, key: str, vector: str, dim: int, *, link: float = 0.1
     for turn in range(rounds):
         if not len(centres):
             break
-        means = _mean(nearest_centre(rows, dim, names, centres, least=member), "cluster", dim)
+        means = around(rows, dim, names, centres, inner=inner, outer=outer, least=member).where(F.col("n") >= least)
         if turn:  # a first middle may lie far from where its records are
-            stands = around(rows, dim, names, centres, inner=inner, outer=outer).where(_apart(dim, inner, outer, 2))
-            means = means.join(stands, "cluster").where("2 * n >= core").drop("core", "rim")
-        names, centres = _merge(*_collect(means.where(F.col("n") >= least)), same)
+            means = means.where(_apart(dim, inner, outer, 2)).where("2 * n >= core")
+        names, centres = _merge(*_collect(means), same)
     if not len(centres):
         return Clusters(rows.limit(0).select("id", F.col("id").alias("cluster"), F.lit(0.0).alias("cosine")), names, np.zeros((0, dim)))
-    own = nearest_centre(rows, dim, names, centres, least=inner).groupBy("cluster").agg(F.count("*").alias("n"))
     stands = around(rows, dim, names, centres, inner=inner, outer=outer).where(_apart(dim, inner, outer, 5, least))
-    kept = stands.join(own, "cluster").where("2 * n >= core").select("cluster").toArrow().column("cluster").to_numpy()
+    kept = stands.where("2 * n >= core").select("cluster").toArrow().column("cluster").to_numpy()
     stays = np.isin(names, kept)
     if not stays.any():
         return Clusters(rows.limit(0).select("id", F.col("id").alias("cluster"), F.lit(0.0).alias("cosine")), names[stays], centres[stays])
-    members = nearest_centre(rows, dim, names[stays], centres[stays], least=member).drop("vec")
+    members = nearest_centre(rows, dim, names[stays], centres[stays], least=member)
     return Clusters(members, names[stays], centres[stays])
 
 

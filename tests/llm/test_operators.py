@@ -546,6 +546,58 @@ def test_links_are_all_pairs_of_a_bucket(spark, monkeypatch, rows, small):
     assert {r.id: r.star for r in clustering.stars(df, 16, jaccard=0.15).collect()} == stars
 
 
+@pytest.mark.parametrize("middle", [0, 256])
+def test_buckets_of_about_one_size_are_compared_together(monkeypatch, middle):
+    """All pairs of all buckets come out whichever way a bucket is compared, and buckets of a few dozen rows not one by one."""
+    monkeypatch.setattr(clustering, "MIDDLE_ROWS", middle)
+    rng = np.random.default_rng(8)
+    size = np.concatenate([rng.integers(1, 25, 40), rng.integers(25, 45, 200), [256, 257, 300]])
+    number = np.repeat(np.arange(len(size)), size)
+    bucket, side = (5 << 16) + number, np.where(number % 3, clustering.WHOLE, rng.integers(0, 2, len(number)))
+    elements, bands = rng.integers(0, 4, (len(number), clustering.FEATURES)).astype(np.uint8) * 85, rng.integers(0, 30, (len(number), clustering.BANDS)).astype(np.uint16)
+    bands[:, 5] = number
+    for held in (bands, None):
+        got, blocks = [], 0
+        for i, j, mask in clustering.linked_rows(bucket, side.astype(np.int8), elements, held, 7):
+            if mask is not None:
+                row, column = np.nonzero(mask)
+                i, j = i[row], j[column]
+            got += zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())
+            blocks += 1
+        expected = set()
+        for n in range(len(size)):
+            at = np.nonzero(number == n)[0]
+            near = ((elements[at][:, None] == elements[at][None]).sum(axis=2) >= 7) & ((side[at][:, None] != side[at][None]) | (n % 3 > 0))
+            if held is not None:
+                near &= ~(bands[at][:, None, :5] == bands[at][None, :, :5]).any(axis=2)
+            expected |= {(int(at[i]), int(at[j])) for i, j in zip(*np.nonzero(near)) if i < j}
+        assert len(got) == len(set(got)) > 1000 and set(got) == expected
+        assert not middle or blocks < 40
+
+
+def test_one_reading_counts_and_averages_the_records_of_each_middle(spark, monkeypatch):
+    """Numbers around each centre and the mean of the records nearest to it are those of brute force, whatever part of the centres or records is taken at a time."""
+    monkeypatch.setattr(clustering, "SUM_ROWS", 30)
+    rng = np.random.default_rng(14)
+    centres = unit(5, 16, rng)
+    x = np.concatenate([*(m + rng.normal(size=(40, 16)) * 0.2 for m in centres[:4]), unit(100, 16, rng)]).astype(np.float32)
+    bad = [None, [0.0] * 16, [float("nan")] * 16, [1.0] * 15, [None, *[1.0] * 15]]
+    unit_rows = clustering._unit(spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), *((900 + i, v) for i, v in enumerate(bad))], "id long, vec array<float>"), 16)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose([r.vec for r in unit_rows.orderBy("id").collect()], x, atol=1e-6)
+    s = x @ centres.T
+    nearest, best = s.argmax(axis=1), s.max(axis=1)
+    monkeypatch.setattr(clustering, "CENTRE_BLOCK", 2)
+    lists = pa.array(x.tolist(), pa.list_(pa.float32()))
+    assert (clustering._scored(lists, 16, centres.astype(np.float32))[2] == nearest).all()
+    found = {r.cluster: r for r in clustering.around(unit_rows, 16, np.arange(10, 15), centres, inner=0.65, outer=0.6, least=0.625).collect()}
+    assert set(found) == set(range(10, 15))
+    for c in range(5):
+        own, r = (nearest == c) & (best >= 0.625), found[10 + c]
+        assert (r.core, r.rim, r.n) == ((s[:, c] >= 0.65).sum(), ((s[:, c] >= 0.6) & (s[:, c] < 0.65)).sum(), own.sum())
+        assert not r.n or np.allclose(r.vec, x[own].mean(axis=0), atol=1e-5)
+
+
 def test_clusters_of_nothing(spark):
     found = clustering.cluster(spark.createDataFrame([], "id long, v array<float>"), "id", "v", 4)
     assert found.members.count() == 0 and clustering.match(found, spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "id long, vec array<float>"), 4).count() == 0
